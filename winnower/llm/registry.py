@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from winnower.llm import minhash
+from winnower.llm import langid, linededup, minhash, mixing, packing
 
 QUERIES = {
+    "op3_line_dedup": linededup.op3_line_dedup,
+    "op4_mixing": mixing.op4_mixing,
     "op5_minhash_dedup": minhash.op5_minhash_dedup,
+    "op8_packing": packing.op8_packing,
+    "op10_langid": langid.op10_langid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": linededup.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+}
