@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from winnower.llm import langid, linededup, minhash, mixing, packing
+from winnower.llm import embdedup, langid, linededup, minhash, mixing, packing, warc
 
 QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_minhash_dedup": minhash.op5_minhash_dedup,
+    "op6_embedding_dedup": embdedup.op6_embedding_dedup,
+    "op7_warc": warc.op7_warc,
     "op8_packing": packing.op8_packing,
     "op10_langid": langid.op10_langid,
 }
@@ -15,4 +17,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op6_embedding_dedup": embdedup.ORACLE,
+    "op7_warc": warc.ORACLE,
 }
