@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from winnower.llm import embdedup, langid, linededup, minhash, mixing, packing, warc
+from winnower.llm import embdedup, jpeg, langid, linededup, minhash, mixing, packing, warc
 
 QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_embedding_dedup": embdedup.op6_embedding_dedup,
     "op7_warc": warc.op7_warc,
     "op8_packing": packing.op8_packing,
+    "op9_media": jpeg.op9_media,
     "op10_langid": langid.op10_langid,
 }
 
