@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from winnower.llm import embdedup, jpeg, langid, linededup, minhash, mixing, packing, warc
+from winnower.llm import embdedup, jpeg, langid, linededup, minhash, mixing, packing, pii, urlfilter, warc
 
 QUERIES = {
+    "op1_url_filter": urlfilter.op1_url_filter,
+    "op2_pii": pii.op2_pii,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_minhash_dedup": minhash.op5_minhash_dedup,
