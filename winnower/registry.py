@@ -1,4 +1,13 @@
 """Queries by name and their SQL oracles."""
 
+from __future__ import annotations
+
+from winnower.operators import counting
+
+_MODULES = [counting]
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
