@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from winnower.operators import counting
+from winnower.operators import compress, counting, langid
 
-_MODULES = [counting]
+_MODULES = [counting, langid, compress]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
