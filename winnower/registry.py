@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from winnower.operators import compress, counting, langid
+from winnower.operators import compress, content, counting, guards, langid
 
-_MODULES = [counting, langid, compress]
+_MODULES = [counting, langid, compress, content, guards]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
