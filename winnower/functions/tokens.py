@@ -111,10 +111,13 @@ def chat_blocks(text: str | Column) -> Column:
     return F.filter(F.split(_col(text), r"\n{2,}"), lambda b: F.trim(b) != "")
 
 
+# Fixed value: the marks that are dropped.
+MARKDOWN = r"(?m)^\s{0,3}(?:#{1,6}\s+|[-*+]\s+|>\s+)|\*\*|__|`{1,3}"
+
+
 def strip_markdown(text: str | Column) -> Column:
-    """Without heading, list and quote marks, emphasis and backticks."""
-    bare = F.regexp_replace(_col(text), r"(?m)^\s{0,3}(?:#{1,6}\s+|[-*+]\s+|\d+\.\s+|>\s?)", "")
-    return F.regexp_replace(bare, r"\*\*|__|\*|`+", "")
+    """Without heading, list and quote marks, strong emphasis and backticks."""
+    return F.regexp_replace(_col(text), MARKDOWN, "")
 
 
 #: Python's line ends; a trailing one opens no line.

@@ -117,26 +117,38 @@ def collapse_success(text: str = "text", command: str = "command", exit_code: st
     return F.when(known & (F.size(facts) > 0), F.array_join(facts, "\n"))
 
 
-LINE_COMMENT = r"(?m)(?://|#(?!!)).*$"
+def code_language(text: str = "text") -> Column:
+    """The language that the first 500 characters look like."""
+    head = F.lower(F.substring(F.col(text), 1, 500))
+    has = lambda *words: F.greatest(*(F.contains(head, F.lit(w)) for w in words), F.lit(False))
+    python = (has("def ", "import ") | (has("class ") & has(":"))) & ~has("public class", "function ")
+    return (
+        F.when(python, "python").when(has("public class", "private void", "namespace "), "csharp").when(has("function ", "const ", "=>"), "javascript")
+        .when(has("#include"), "cpp").when(has("package ") & has("func "), "go").otherwise("unknown")
+    )
 
 
 def strip_code(text: str = "text") -> Column:
-    """Code without block comments, line comments and blank lines.
+    """Code without comments and blank lines.
 
-    ``//`` and ``#`` begin a comment in every language, also inside strings.
+    ``//`` and ``#`` begin a comment in every language, also inside strings; a
+    first line of ``#!`` stays in Python. Block comments stay in Python only.
     """
-    bare = F.regexp_replace(F.col(text), r"(?s)/\*.*?\*/", "")
-    bare = F.regexp_replace(bare, LINE_COMMENT, "")
-    rows = F.filter(F.transform(F.split(bare, "\n", -1), lambda x: F.rtrim(x)), lambda x: F.trim(x) != "")
-    return F.array_join(rows, "\n")
+    python = code_language(text) == "python"
+    rows = T.lines(F.when(python, F.col(text)).otherwise(F.regexp_replace(F.col(text), r"(?s)/\*.*?\*/", "")))
+
+    def bare(line: Column, k: Column) -> Column:
+        return F.when(python & (k == 0) & line.startswith("#!"), line).otherwise(F.regexp_replace(F.regexp_replace(line, r"(//|#)[^\n]*", ""), r"(?U)\s+$", ""))
+
+    return F.array_join(F.filter(F.transform(rows, bare), lambda x: x.rlike(r"(?U)\S")), "\n")
 
 
 def log_key(line: Column) -> Column:
     """A log line without timestamps, addresses, thread names and long numbers."""
-    k = F.regexp_replace(line, r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<ts>")
-    k = F.regexp_replace(k, r"0x[0-9a-fA-F]+", "<addr>")
-    k = F.regexp_replace(k, r"\[[^\]]*thread[^\]]*\]", "[thread]")
-    return F.trim(F.regexp_replace(k, r"\b\d{4,}\b", "<n>"))
+    k = F.regexp_replace(line, r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\d{2}:\d{2}:\d{2}(?:\.\d+)?", "<TS>")
+    k = F.regexp_replace(k, r"\b0x[0-9a-fA-F]{4,}\b", "<ADDR>")
+    k = F.regexp_replace(k, r"\[(?:Thread|thread|TID|PID)[\s-]?\d+\]|Thread-\d+|pid=\d+", "<THR>")
+    return F.regexp_replace(F.regexp_replace(k, r"\b\d{4,}\b", "<N>"), r"(?U)^\s+|\s+$", "")
 
 
 def log_dedup(df: DataFrame, id_col: str, text: str = "text", max_lines: int = 200) -> DataFrame:
@@ -199,7 +211,7 @@ def success_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPACE = r"[\s\v\x{85}\p{Z}]"
-_TS = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+_TS = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\d{2}:\d{2}:\d{2}(?:\.\d+)?"
 _LINES = r"regexp_split_to_array({t}, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')"
 
 QUERIES = {
@@ -227,11 +239,12 @@ ORACLES = {
       FROM (SELECT *, regexp_replace(regexp_replace(text, '[ \t]{2,}', '', 'g'), '\n+', E'\n', 'g') AS c FROM conversations)""",
     "strip_noise": r"SELECT doc_id, array_to_string(list_transform(str_split(text, chr(10)), lambda x: list_last(str_split(replace(x, '. ', E'.\r'), E'\r'))), chr(10)) || E'\n---' AS clean FROM documents",
     "log_dedup": rf"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT doc_id, {_LINES.format(t="text")} AS ls FROM documents)),
-      k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '{_TS}', '<ts>', 'g'), '0x[0-9a-fA-F]+', '<addr>', 'g'), '\[[^\]]*thread[^\]]*\]', '[thread]', 'g'), '\b\d{{4,}}\b', '<n>', 'g')) AS key FROM l WHERE trim(line) <> ''),
+      k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '{_TS}', '<TS>', 'g'), '\b0x[0-9a-fA-F]{{4,}}\b', '<ADDR>', 'g'), '\[(?:Thread|thread|TID|PID)[\s-]?\d+\]|Thread-\d+|pid=\d+', '<THR>', 'g'), '\b\d{{4,}}\b', '<N>', 'g')) AS key FROM l WHERE trim(line) <> ''),
       f AS (SELECT doc_id, key, min(pos) AS first FROM k GROUP BY doc_id, key), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS kind FROM f),
       s AS (SELECT doc_id, first AS stop FROM r WHERE kind = 200), g AS (SELECT doc_id, key, count(*) AS n, min(pos) AS pos, arg_min(line, pos) AS line FROM k LEFT JOIN s USING (doc_id) WHERE stop IS NULL OR pos <= stop GROUP BY doc_id, key)
       SELECT doc_id, pos::INTEGER AS pos, CASE WHEN n > 1 THEN line || '  [×' || n || ']' ELSE line END AS line, n FROM g""",
-    "code_strip": r"""SELECT page_id, array_to_string(list_filter(list_transform(str_split(regexp_replace(regexp_replace(regexp_replace(html, '(?s)/\*.*?\*/', '', 'g'), '#!', chr(1), 'g'), '(?m)(?://|#).*$', '', 'g'), chr(10)),
-      lambda x: rtrim(replace(x, chr(1), '#!'))), lambda x: trim(x) <> ''), chr(10)) AS code FROM pages""",
+    "code_strip": rf"""WITH h AS (SELECT page_id, html, lower(html[1:500]) AS h FROM pages), l AS (SELECT page_id, (contains(h, 'def ') OR contains(h, 'import ') OR (contains(h, 'class ') AND contains(h, ':'))) AND NOT contains(h, 'public class') AND NOT contains(h, 'function ') AS py, html FROM h),
+      r AS (SELECT page_id, py, {_LINES.format(t="CASE WHEN py THEN html ELSE regexp_replace(html, '(?s)/[*].*?[*]/', '', 'g') END")} AS ls FROM l)
+      SELECT page_id, array_to_string(list_filter(list_transform(ls, lambda x, i: CASE WHEN py AND i = 1 AND starts_with(x, '#!') THEN x ELSE regexp_replace(regexp_replace(x, '(//|#)[^\n]*', ''), '{_SPACE}+$', '') END), lambda x: regexp_matches(x, '[^\s\v\x{{85}}\p{{Z}}]')), chr(10)) AS code FROM r""",
     "success_collapse": "SELECT event_id, CASE WHEN event_type = 'click' THEN 'added ' || user_id || E' packages in 2s\\nfound 0 vulnerabilities' END AS summary FROM events WHERE event_type IN ('click', 'view')",
 }

@@ -79,5 +79,5 @@ ORACLES = {
         SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: length(w) >= 3) AS b FROM documents)""",
     "text_blocks": """SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda b: trim(b) <> ''))::BIGINT AS n_blocks,
         len(list_filter(regexp_split_to_array(text, '\\n{2,}'), lambda b: trim(b) <> ''))::BIGINT AS n_chat_blocks FROM documents""",
-    "markdown_strip": r"""SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?m)^\s{0,3}(?:#{1,6}\s+|[-*+]\s+|\d+\.\s+|>\s?)', '', 'g'), '\*\*|__|\*|`+', '', 'g') AS plain FROM conversations""",
+    "markdown_strip": f"SELECT conv_id, turn, regexp_replace(text, '{T.MARKDOWN}', '', 'g') AS plain FROM conversations",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from winnower.operators import compress, content, counting, guards, langid
+from winnower.operators import compress, content, counting, guards, langid, retrieval
 
-_MODULES = [counting, langid, compress, content, guards]
+_MODULES = [counting, langid, compress, content, guards, retrieval]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
