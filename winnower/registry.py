@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from winnower.operators import compress, content, counting, guards, langid, retrieval
+from winnower.operators import compress, content, counting, guards, langid, ledger, retrieval, sessions
 
-_MODULES = [counting, langid, compress, content, guards, retrieval]
+_MODULES = [counting, langid, compress, content, guards, retrieval, ledger, sessions]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
