@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from winnower.operators import compress, content, counting, guards, langid, ledger, retrieval, sessions
+from winnower.operators import compress, content, counting, guards, langid, ledger, privacy, retrieval, sessions, structured, summarize
 
-_MODULES = [counting, langid, compress, content, guards, retrieval, ledger, sessions]
+_MODULES = [counting, langid, compress, content, guards, retrieval, ledger, sessions, structured, summarize, privacy]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
