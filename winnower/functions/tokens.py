@@ -132,14 +132,14 @@ def lines(text: str | Column) -> Column:
 
 #: A typed splitter: the alternatives in order of priority.
 KINDS = [
-    ("URL", r"https?://\S+"),
-    ("Email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("Number", r"\d+(?:[.,]\d+)*"),
-    ("Word", r"[\p{L}\p{M}]+(?:'[\p{L}\p{M}]+)*"),
-    ("Newline", r"\r?\n"),
-    ("Whitespace", r"[^\S\r\n]+|\r"),
-    ("Emoji", r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"),
-    ("Punctuation", r"\p{P}"),
+    ("URL", r"https?://\S+|www\.\S+"),
+    ("Email", r"(?U:[\w.+-])+@(?U:[\w-])+\.[a-zA-Z]{2,}"),
+    ("Number", r"\p{Nd}+(?:[.,]\p{Nd}+)*"),
+    ("Word", r"[\p{L}\p{M}][\p{L}\p{M}']*"),
+    ("Whitespace", r"[\p{Zs}\t]"),
+    ("Newline", r"\n"),
+    ("Punctuation", r"[\p{P}\p{S}]"),
+    ("Emoji", r"[\x{1F601}-\x{10FFFF}]"),
     ("Other", r"(?s:.)"),
 ]
 
