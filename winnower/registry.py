@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from winnower.operators import agents, compress, content, counting, devtools, guards, langid, ledger, privacy, retrieval, sessions, structured, summarize
+from winnower.operators import admin, agents, compress, content, counting, devtools, guards, langid, ledger, privacy, retrieval, sessions, structured, summarize
 from winnower.sources import stores
 from winnower.streaming import twins
 
-_MODULES = [counting, langid, compress, content, guards, retrieval, ledger, sessions, structured, summarize, privacy, devtools, stores, agents, twins]
+_MODULES = [counting, langid, compress, content, guards, retrieval, ledger, sessions, structured, summarize, privacy, devtools, stores, agents, twins, admin]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
