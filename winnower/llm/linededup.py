@@ -182,7 +182,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bit
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     suspects = common.materialise(_suspects(plain, bits), "suspects")
     first = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    drops = suspects.join(first.select("key", "first"), "key").where("doc_id <> first")
+    # a table of its own: the join is then one of plain scans, whose skewed partitions Spark splits
+    first = common.materialise(first.select("key", "first"), "first")
+    drops = suspects.join(first, "key").where("doc_id <> first")
     drops = drops.groupBy(F.col("doc_id").alias("_winnower_id")).agg(F.collect_set("key").alias("_winnower_drops"))
     both = docs.join(drops, F.col(id_col) == F.col("_winnower_id"), "left").drop("_winnower_id")
     # texts that lose nothing don't travel to Python
