@@ -69,11 +69,12 @@ def _pack(positions: np.ndarray, size: int) -> bytes:
 
 
 def _unpack(raw: bytes, size: int) -> np.ndarray:
+    """A segment's bits, eight to a byte."""
     if len(raw) * 8 < size:
         bits = np.zeros(size, dtype=bool)
         bits[np.frombuffer(raw, np.uint32)] = True
-        return bits
-    return np.unpackbits(np.frombuffer(raw, np.uint8)).astype(bool)
+        return np.packbits(bits)
+    return np.frombuffer(raw, np.uint8).copy()
 
 
 def twice_seen(docs: DataFrame, bits: int = FILTER_BITS) -> dict[int, bytes]:
@@ -110,22 +111,28 @@ def twice_seen(docs: DataFrame, bits: int = FILTER_BITS) -> dict[int, bytes]:
             yield emit(np.array(held, dtype=np.uint64))
 
     def merge(batches):
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # rows come segment by segment: one pair of bitmaps is held at a time
+        at, seen_once, seen_twice = None, None, None
+
+        def done():
+            if at is None or not seen_twice.any():
+                return
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(seen_twice.tobytes(), 1)], pa.binary())], ["segment", "twice"])
+
         for b in batches:
             for s, once, twice in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 once, twice = _unpack(once, size), _unpack(twice, size)
-                if s in seen:
-                    o, t = seen[s]
-                    t |= twice
-                    t |= o & once
-                    o |= once
+                if s != at:
+                    yield from done()
+                    at, seen_once, seen_twice = s, once, twice
                 else:
-                    seen[s] = (once, twice)
-        done = [(s, zlib.compress(np.packbits(t).tobytes(), 1)) for s, (_, t) in seen.items() if t.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int32()), pa.array([x[1] for x in done], pa.binary())], ["segment", "twice"])
+                    seen_twice |= twice
+                    seen_twice |= seen_once & once
+                    seen_once |= once
+        yield from done()
 
     noted = docs.where("doc_id is not null").select("text").mapInArrow(note, "segment int, once binary, twice binary")
-    merged = noted.repartition("segment").mapInArrow(merge, "segment int, twice binary")
+    merged = noted.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, twice binary")
     return {r.segment: bytes(r.twice) for r in merged.toLocalIterator()}
 
 
