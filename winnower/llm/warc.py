@@ -26,6 +26,8 @@ from winnower.llm import common
 
 #: An archive is closed when it has so many bytes, so that a reader's memory is bounded.
 ARCHIVE_BYTES = 4 << 20
+#: About so many of them are read by one task.
+ARCHIVES_A_TASK = 4
 #: Payloads of at least so many bytes are written once.
 MIN_REVISIT = 1000
 LEVEL = 3
@@ -222,8 +224,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     cols = zip(*rows[k : k + 200], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], [f.split()[0] for f in _READ.split(", ")])
 
-    # one archive is a few MB: no more than a few of them in a batch
-    return archives.select("archive_id", "content").repartition("archive_id").mapInArrow(run, _READ)
+    # a batch may be as large as a task's share: some archives for each task
+    parts = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), archives.count() // ARCHIVES_A_TASK + 1)
+    return archives.select("archive_id", "content").repartition(parts, "archive_id").mapInArrow(run, _READ)
 
 
 _TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
