@@ -41,10 +41,6 @@ def marked_tokens(text: str = "text") -> Column:
     return T.extract(F.regexp_replace(bare, SENTENCE_START, f"$1{MARK}"), MARKED_TOKEN)
 
 
-def _bare(t: Column) -> Column:
-    return F.regexp_replace(t, f"^{MARK}", "")
-
-
 def _by_language(lang: Column, table: dict[str, Iterable[str]], w: Column, default: Iterable[str] = ()) -> Column:
     out = w.isin(list(default)) if default else F.lit(False)
     for iso3, words in sorted(table.items()):
@@ -59,10 +55,14 @@ def is_number(w: Column) -> Column:
 def descriptive(w: Column, lang: Column) -> Column:
     """Whether a lower-case word has a descriptive suffix of its language's group."""
     out = F.lit(False)
+    n = F.length(w)
     for iso3, group in GROUPS.items():
-        # one letter more than the least before the suffix
-        pattern = "|".join(f"(?s:.){{{least + 1},}}(?:{'|'.join(s.split())})" for least, s in SUFFIXES[group])
-        out = F.when(lang == iso3, w.rlike(f"^(?:{pattern})$") & (F.length(w) >= 4)).otherwise(out)
+        hit = F.lit(False)
+        for least, suffixes in SUFFIXES[group]:
+            for s in suffixes.split():
+                # one letter more than the least before the suffix
+                hit = hit | (F.endswith(w, F.lit(s)) & (n > len(s) + least))
+        out = F.when(lang == iso3, hit & (n >= 4)).otherwise(out)
     return out
 
 
@@ -82,13 +82,31 @@ class Rules:
         zho = F.when(self.lang == "zho", w.rlike("^(?:" + "|".join(self.lexicon.negation.get("zho", ["\u0001"])) + ")")).otherwise(False)
         return _by_language(self.lang, self.lexicon.negation, w) | zho
 
-    def kept(self, t: Column) -> Column:
-        """Whether a marked token is protected: a negation, or a name inside a sentence."""
-        w = _bare(t)
-        named = _by_language(self.lang, self.lexicon.proper, F.lower(w))
+    def kept(self, w: Column, low: Column, starts: Column) -> Column:
+        """Whether a word is protected: a negation, or a name inside a sentence."""
+        named = _by_language(self.lang, self.lexicon.proper, low)
         capital = w.rlike(r"^[\p{Lu}\p{Lt}]")
-        inside = ~t.startswith(MARK) & ~self.lang.isin(NOUN_CAPITALS)
-        return self.negation(F.lower(w)) | (capital & (inside | named))
+        inside = ~starts & ~self.lang.isin(NOUN_CAPITALS)
+        return self.negation(low) | (capital & (inside | named))
+
+    def words(self, tokens: Column, hard: bool = False) -> Column:
+        """The tokens as structs that hold each decision once; ``hard`` adds those of the hard levels."""
+
+        def seen(t: Column) -> Column:
+            w = F.translate(t, MARK, "")
+            return F.struct(w.alias("w"), F.lower(w).alias("low"), t.startswith(MARK).alias("starts"), T.is_punct(w).alias("punct"))
+
+        def judged(x: Column) -> Column:
+            lemma = self.lemma(x["low"])
+            parts = [x["w"].alias("w"), x["punct"].alias("punct"), lemma.alias("lemma"), self.kept(x["w"], x["low"], x["starts"]).alias("kept"), is_number(x["w"]).alias("num"), self._listed(x["low"], lemma).alias("fun")]
+            if hard:
+                parts.append((self.generic(lemma) | descriptive(lemma, self.lang)).alias("weak"))
+            return F.struct(*parts)
+
+        return F.transform(F.transform(tokens, seen), judged)
+
+    def _listed(self, low: Column, lemma: Column) -> Column:
+        return self.function(low) | self.function(lemma) if self.lexicon.lemma else self.function(low)
 
     def lemma(self, w: Column) -> Column:
         """The lemma of a word, lower-cased; adverbs stay as they are."""
@@ -103,25 +121,20 @@ class Rules:
 
 
 def light(tokens: Column, r: Rules) -> Column:
-    words = F.filter(F.transform(tokens, _bare), lambda w: ~T.is_punct(w))
+    words = F.filter(F.transform(tokens, lambda t: F.translate(t, MARK, "")), lambda w: ~T.is_punct(w))
     return F.filter(words, lambda w: ~r.function(F.lower(w)) | r.negation(F.lower(w)))
 
 
-def semantic(tokens: Column, r: Rules) -> Column:
-    words = F.filter(tokens, lambda t: ~T.is_punct(_bare(t)))
-    words = F.filter(words, lambda t: r.kept(t) | ~(is_number(_bare(t)) | r.function(F.lower(_bare(t))) | r.function(r.lemma(_bare(t)))))
-    return F.transform(words, lambda t: F.when(r.kept(t), _bare(t)).otherwise(r.lemma(_bare(t))))
+def _shown(words: Column) -> Column:
+    return F.transform(words, lambda x: F.when(x["kept"], x["w"]).otherwise(x["lemma"]))
 
 
-def _plain_content(w: Column, r: Rules) -> Column:
-    low, lemma = F.lower(w), r.lemma(w)
-    return ~(is_number(w) | r.function(low) | (F.length(lemma) <= 1) | r.function(lemma) | r.generic(lemma) | descriptive(lemma, r.lang))
+def semantic(words: Column) -> Column:
+    return _shown(F.filter(words, lambda x: ~x["punct"] & (x["kept"] | ~(x["num"] | x["fun"]))))
 
 
-def aggressive(tokens: Column, r: Rules) -> Column:
-    words = F.filter(tokens, lambda t: ~T.is_punct(_bare(t)))
-    words = F.filter(words, lambda t: r.kept(t) | _plain_content(_bare(t), r))
-    return F.transform(words, lambda t: F.when(r.kept(t), _bare(t)).otherwise(r.lemma(_bare(t))))
+def aggressive(words: Column) -> Column:
+    return _shown(F.filter(words, lambda x: ~x["punct"] & (x["kept"] | ~(x["num"] | x["fun"] | x["weak"] | (F.length(x["lemma"]) <= 1)))))
 
 
 def compress(df: DataFrame, level: str, text: str = "text", lang: str | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -141,12 +154,12 @@ def compress(df: DataFrame, level: str, text: str = "text", lang: str | None = N
     elif level == "light":
         base = base.withColumn("_kept", light(F.col("_tokens"), r))
     elif level == "semantic":
-        base = base.withColumn("_kept", semantic(F.col("_tokens"), r))
+        base = base.withColumn("_kept", semantic(r.words(F.col("_tokens"))))
     elif level == "aggressive":
-        base = base.withColumn("_hard", aggressive(F.col("_tokens"), r))
-        base = base.withColumn("_kept", F.when(F.size("_hard") > 0, F.col("_hard")).otherwise(semantic(F.col("_tokens"), r))).drop("_hard")
+        base = base.withColumn("_words", r.words(F.col("_tokens"), hard=True)).withColumn("_hard", aggressive(F.col("_words")))
+        base = base.withColumn("_kept", F.when(F.size("_hard") > 0, F.col("_hard")).otherwise(semantic(F.col("_words")))).drop("_hard", "_words")
     elif level == "syntactic":
-        base = base.withColumn("_kept", _syntactic(F.col("_tokens"), r))
+        base = base.withColumn("_words", r.words(F.col("_tokens"), hard=True)).withColumn("_kept", _syntactic(F.col("_words"))).drop("_words")
     else:
         raise ValueError(f"unknown level {level}")
     n = F.size("_tokens")
@@ -159,48 +172,29 @@ def _is_end(t: Column) -> Column:
     return t.isin(ENDS)
 
 
-def _syntactic(tokens: Column, r: Rules) -> Column:
+def _syntactic(words: Column) -> Column:
     """Content words, and function words right before one; no sentence goes empty.
 
     Without part-of-speech data there is no elision of leading clauses.
     """
-    pairs = F.arrays_zip(tokens.alias("t"), F.concat(F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), F.array(F.lit("."))).alias("next"))
-
-    def content(t: Column) -> Column:
-        w = _bare(t)
-        lemma = r.lemma(w)
-        return ~(is_number(w) | r.function(F.lower(w)) | r.function(lemma) | r.generic(lemma) | descriptive(lemma, r.lang))
-
-    def survives(t: Column) -> Column:
-        return ~T.is_punct(_bare(t)) & (r.kept(t) | content(t))
-
-    def glue(t: Column) -> Column:
-        w = _bare(t)
-        return ~is_number(w) & (r.function(F.lower(w)) | r.function(r.lemma(w)))
+    live = F.transform(words, lambda x: ~x["punct"] & (x["kept"] | ~(x["num"] | x["fun"] | x["weak"])))
+    follows = F.concat(F.slice(live, 2, F.greatest(F.size(live), F.lit(1))), F.array(F.lit(False)))
+    pairs = F.arrays_zip(words.alias("x"), live.alias("live"), follows.alias("follows"))
 
     def form(p: Column) -> Column:
-        t = p["t"]
-        w = _bare(t)
-        kept = ~T.is_punct(w) & (r.kept(t) | F.when(glue(t), survives(p["next"])).otherwise(content(t)))
-        shown = F.when(r.kept(t) | glue(t), w).otherwise(r.lemma(w))
-        return F.struct(w.alias("w"), T.is_punct(w).alias("punct"), kept.alias("keep"), shown.alias("shown"))
+        x = p["x"]
+        glue = ~x["num"] & x["fun"]
+        kept = ~x["punct"] & (x["kept"] | F.when(glue, p["follows"]).otherwise(p["live"]))
+        shown = F.when(x["kept"] | glue, x["w"]).otherwise(x["lemma"])
+        return F.struct(x["w"].alias("w"), x["punct"].alias("punct"), kept.alias("keep"), shown.alias("shown"))
 
     items = F.transform(pairs, form)
-    # the floor: the first word of a sentence of which nothing is kept; a running fold over the tokens,
-    # holding the sentence's first word until something of it is kept
-    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("string").alias("first"), F.lit(False).alias("some"))
-
-    def step(s: Column, x: Column) -> Column:
-        end = x["punct"] & _is_end(x["w"])
-        use_floor = end & ~s["some"] & s["first"].isNotNull()
-        out = F.when(use_floor, F.concat(s["out"], F.lit("\u0002"), s["first"])).when(x["keep"], F.concat(s["out"], F.lit("\u0002"), x["shown"])).otherwise(s["out"])
-        first = F.when(end, F.lit(None).cast("string")).otherwise(F.coalesce(s["first"], F.when(~x["punct"], x["shown"])))
-        some = F.when(end, F.lit(False)).otherwise(s["some"] | x["keep"])
-        return F.struct(out.alias("out"), first.alias("first"), some.alias("some"))
-
-    close = F.struct(F.lit(".").alias("w"), F.lit(True).alias("punct"), F.lit(False).alias("keep"), F.lit("").alias("shown"))
-    folded = F.aggregate(F.concat(items, F.array(close)), start, step, lambda s: s["out"])
-    return F.filter(F.split(folded, "\u0002"), lambda w: w != "")
+    # the floor: the first word of a sentence of which nothing is kept. One letter stands for each token
+    # (Kept, Word, Punctuation, End), and a regular expression finds the sentences without a K
+    letters = F.transform(items, lambda x: F.when(x["keep"], "K").when(~x["punct"], "W").when(_is_end(x["w"]), "E").otherwise("P"))
+    floored = F.split(F.regexp_replace(F.array_join(letters, ""), r"(?<=^|E)(P*)W(?=[WP]*(?:E|$))", "$1F"), "")
+    chosen = F.filter(F.arrays_zip(items.alias("x"), floored.alias("f")), lambda p: p["f"].isin("K", "F"))
+    return F.transform(chosen, lambda p: p["x"]["shown"])
 
 
 def _statistical(base: DataFrame, r: Rules, text: str) -> DataFrame:
@@ -210,10 +204,9 @@ def _statistical(base: DataFrame, r: Rules, text: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    w = _bare(F.col("t"))
-    per = per.withColumn("w", w).withColumn("punct", T.is_punct(F.col("w")))
+    per = per.withColumn("w", F.translate("t", MARK, "")).withColumn("punct", T.is_punct(F.col("w")))
     per = per.withColumn("sentence", F.coalesce(F.sum((F.col("punct") & _is_end(F.col("w"))).cast("int")).over(order), F.lit(0)))
-    per = per.withColumn("proper", ~F.col("punct") & r.kept(F.col("t")))
+    per = per.withColumn("proper", ~F.col("punct") & r.kept(F.col("w"), F.lower("w"), F.col("t").startswith(MARK)))
     per = per.withColumn("key", F.when(~F.col("punct") & ~F.col("proper") & ~is_number(F.col("w")), r.lemma(F.col("w"))))
     terms = per.where("key is not null").groupBy("_row", "detected", "key").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("sentence").alias("df"))
     sizes = per.groupBy("_row").agg((F.sum((F.col("punct") & _is_end(F.col("w"))).cast("int")) + 1).alias("sentences"))
@@ -232,7 +225,7 @@ def _statistical(base: DataFrame, r: Rules, text: str) -> DataFrame:
     # a text without a single scored word keeps its words
     scored = terms.select("_row").distinct().withColumn("scored", F.lit(True))
     out = key.join(kept, "_row", "left").join(scored, "_row", "left")
-    plain = F.filter(F.filter(F.transform("_tokens", _bare), lambda x: ~T.is_punct(x)), lambda x: ~is_number(x))
+    plain = F.filter(F.filter(F.transform("_tokens", lambda t: F.translate(t, MARK, "")), lambda x: ~T.is_punct(x)), lambda x: ~is_number(x))
     words = F.when(F.col("scored"), F.coalesce(F.col("k.w"), F.array().cast("array<string>"))).otherwise(plain)
     out = out.withColumn("_kept", words).withColumn("original_tokens", F.size("_tokens").cast("long"))
     return out.withColumn("compressed_text", F.array_join("_kept", " ")).withColumn("compressed_tokens", F.size("_kept").cast("long")).drop("_row", "_tokens", "_kept", "k", "scored")

@@ -159,7 +159,7 @@ def masking(text: str = "text", rules: list[Rule] = RULES, whitelist: list[str]
 
 
 def masked(df: DataFrame, text: str = "text", **kw) -> DataFrame:
-    """``df`` with masked_text and vault; line ends become \\n as in the reference semantics."""
+    """``df`` with masked_text and vault; line ends become \\n."""
     out = df.withColumn("_m", masking(text, **kw))
     return out.withColumn("masked_text", F.coalesce("_m.text", F.when(F.col(text).isNotNull(), normalised(text)))).withColumn("vault", F.col("_m.vault")).drop("_m")
 
