@@ -21,7 +21,7 @@ from winnower.llm import common
 
 FEATURES = 1 << 15
 #: The documented bound of the training sample: so many rows of each language.
-SAMPLE_PER_LANGUAGE = 800
+SAMPLE_PER_LANGUAGE = 400
 #: And of the languages: the most frequent ones.
 MAX_LANGUAGES = 500
 EPOCHS = 3
@@ -254,7 +254,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: s
     for r in sorted(drawn.select("text", "lang", "draw").mapInArrow(compact, "lang string, draw long, at binary, counts binary").collect(), key=lambda r: (r.draw, r.lang, bytes(r["at"]), bytes(r["counts"]))):
         own = got.setdefault(r.lang, [])
         if len(own) < per_language:
-            own.append((r.draw, r.lang, np.frombuffer(bytes(r["at"]), np.int32).astype(np.int64), np.frombuffer(bytes(r["counts"]), np.float32).astype(float)))
+            own.append((r.draw, r.lang, np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["counts"]), np.float32)))
     sample = [x[1:] for x in sorted((x for own in got.values() for x in own), key=lambda x: (x[0], x[1]))]
     if not sample:
         return None
