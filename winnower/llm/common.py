@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to a Python worker. Texts may be long, so a batch is
@@ -45,10 +45,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     recomputation of an iterative plan, and a table with several readers is
     computed once.
     """
+    return counted(df, label)[0]
+
+
+def counted(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, Row]:
+    """As ``materialise``, with the number of rows ``n`` (and more ``metrics``) seen while writing."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *metrics).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), Row(**seen.get)
 
 
 def discard(df: DataFrame) -> None:
@@ -64,47 +70,33 @@ def discard(df: DataFrame) -> None:
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, component)``.
 
-    ``component`` is the smallest id reachable. Only nodes that have an edge are
-    returned; null ends and self-loops are ignored, repeated edges do no harm, an
-    empty input gives an empty result.
-
-    Each round points every node at the smallest id among itself and its
-    neighbours (a partially aggregated minimum, so a node with very many edges
-    costs one row per task), halves the pointer chains, then rewrites the edges
-    in terms of the pointers and drops those inside one tree. Every round at
-    least halves the trees that still have an edge, so the number of rounds is
-    logarithmic; edges only shrink. Nothing is collected to the driver and each
-    round is written to the shared folder.
+    ``component`` is the smallest id reachable. An id without a row is its own
+    component: one without edges, or the smallest of its component. Null ends and
+    self-loops are ignored, repeated edges do no harm, an empty input gives an empty
+    result.
+
+    Large-star and small-star turns alternate until the edges are a star around the
+    smallest id of each component. A turn is a partially aggregated minimum and an
+    equi-join with it, so a node of very many edges is neither collected nor paired
+    with itself; the number of turns is logarithmic. Nothing goes to the driver but
+    a count and a checksum, and each turn is written to the shared folder.
     """
-    ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    live = materialise(ends.where("a is not null and b is not null and a <> b").distinct(), f"{label}-edges")
-    total = None
-    while not live.isEmpty():
-        both = live.select("a", "b").unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("p"))
-        parent = materialise(parent.select("id", F.least("id", "p").alias("p")), f"{label}-parent")
-        up = parent.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-        hop = materialise(parent.join(up, "p").select("id", F.col("pp").alias("p")), f"{label}-hop")
-        discard(parent)
-        to = hop.select(F.col("id").alias("component"), F.col("p").alias("next"))
-        if total is None:
-            new_total = hop.select("id", F.col("p").alias("component"))
-        else:
-            new_total = total.join(to, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-        new_total = materialise(new_total, f"{label}-map")
-        rest = (
-            live.join(hop.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a")
-            .join(hop.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
-            .where("pa <> pb")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-            .distinct()
-        )
-        new_live = materialise(rest, f"{label}-edges")
-        for old in (live, hop, total):
-            if old is not None:
-                discard(old)
-        live, total = new_live, new_total
-    if total is None:
-        return live.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    discard(live)
-    return total
+    sums = F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("sum")
+    ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
+    live, now = counted(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-edges", sums)
+    while now.n:
+        # large star: of each node, every larger neighbour is tied to the smallest of all
+        both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.col("c")).alias("m"))
+        tied = both.select(F.col("a").alias("c"), F.col("b").alias("v")).where("v > c").join(low, "c").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = materialise(tied.distinct(), f"{label}-large")
+        # small star: of each node, the node and its smaller neighbours are tied to the smallest
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        rest = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new, then = counted(rest.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), f"{label}-edges", sums)
+        discard(live)
+        discard(large)
+        live, before, now = new, now, then
+        if (before.n, before.sum) == (now.n, now.sum):
+            break
+    return live.select(F.col("a").alias("id"), F.col("b").alias("component"))
