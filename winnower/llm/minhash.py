@@ -10,7 +10,7 @@ first folded into a class; of the classes in a bucket, each is joined to two
 centres only (a star around the smallest id and one around a hash-drawn member).
 All edges are confirmed on full sets. A bucket whose members are not one
 component after that is worked on again, with new centres and only across
-components, until its members have all met or no round finds a link.
+components, until its members have all met or a round over all bands finds no link.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 #: Buckets of at most this many classes are finished at once, all classes of one
 #: component against those of the others; larger ones go on star by star.
 SMALL_BUCKET = 32
+#: Parts of the bands, worked on in turns.
+PARTS = 4
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 _ROW = np.random.default_rng(7).integers(1, 1 << 63, BINS, dtype=np.uint64) | np.uint64(1)
 
@@ -136,12 +138,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, text: str =
     seen = common.materialise(sketches(docs, n=n), "sketches")
 
     classes = seen.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    buckets = common.materialise(classes.select(F.col("rep").alias("member"), "size", F.explode("bands").alias("bucket")), "buckets")
+    classes = common.materialise(classes, "classes")
+    buckets = classes.select(F.col("rep").alias("member"), "size", F.posexplode("bands").alias("band", "bucket"))
     centres = buckets.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"),
         F.min(F.struct("member", "size")).alias("low"),
         F.min(F.struct(F.xxhash64("member", "bucket").alias("h"), "member", "size")).alias("drawn"),
     ).where("members > 1")
+    # a table of its own: the join below is then one of plain scans, whose skewed partitions Spark splits
+    centres = common.materialise(centres, "centres")
     shared = common.materialise(buckets.join(centres, "bucket"), "shared")
 
     star = shared.select("member", "size", F.explode(F.array(F.struct("low.member", "low.size"), F.struct("drawn.member", "drawn.size"))).alias("c"))
@@ -154,24 +159,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, text: str =
 
     links = common.materialise(_confirm(wanted, sets, percent), "links")
     component = common.connected_components(links)
-    tried, dry, turn = wanted, 0, 0
-    while dry < 2:
-        turn += 1
-        more = _next_pairs(shared, component, tried, percent, turn)
-        more = common.materialise(more, "edges")
-        if more.isEmpty():
-            break
-        found = common.materialise(_confirm(more, sets, percent), "links")
-        tried = tried.unionByName(more)
-        if found.isEmpty():
-            dry += 1
-            continue
-        dry = 0
-        links = links.unionByName(found)
-        component = common.connected_components(links)
+    component = _complete(shared, component, wanted, links, sets, percent)
     common.discard(sets)
     common.discard(shared)
-    common.discard(buckets)
 
     rep = seen.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key")
     whole = rep.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -185,20 +175,56 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.least("member", "other").alias("a"), F.greatest("member", "other").alias("b")).distinct()
 
 
-def _next_pairs(shared: DataFrame, component: DataFrame, tried: DataFrame, percent: int, turn: int) -> DataFrame:
-    """New pairs across components in the buckets that are not one component yet."""
-    of = component.withColumnRenamed("id", "member")
-    rows = shared.where("members > 2").select("bucket", "member", "size", "members").join(of, "member", "left").withColumn("component", F.coalesce("component", "member"))
-    open_ = rows.groupBy("bucket").agg(
-        F.min("component").alias("lo"),
-        F.max("component").alias("hi"),
-        F.min(F.struct(F.xxhash64("member", "bucket", F.lit(turn)).alias("h"), "member", "size", "component")).alias("c"),
-    ).where("lo <> hi")
-    rows = rows.join(open_, "bucket")
+def _complete(shared: DataFrame, component: DataFrame, tried: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components after the buckets that stars left in several components are worked on.
+
+    Only buckets of more than two members can hold links that no star has tried. A
+    turn takes a part of the bands, so that what one part links is known to the next.
+    """
+    rows = [shared.where(f"members > 2 and band % {PARTS} = {p}").select("bucket", "member", "size", "members", F.col("member").alias("component")) for p in range(PARTS)]
+    seen, left = [-1] * PARTS, [None] * PARTS  # the version of the components that a part was last told
+    version, dry, turn = 0, 0, 0
+    while dry < PARTS:
+        p, turn, dry = turn % PARTS, turn + 1, dry + 1
+        if rows[p] is None:
+            continue
+        if seen[p] != version:
+            rows[p], left[p] = common.counted(_still_open(rows[p], component), "open", F.count_if(F.col("members") > SMALL_BUCKET).alias("large"))
+            seen[p] = version
+        if not left[p].n:
+            rows[p] = None
+            continue
+        more, new = common.counted(_next_pairs(rows[p], tried, percent, turn), "edges")
+        if new.n:
+            tried = tried.unionByName(more)
+            found, got = common.counted(_confirm(more, sets, percent), "links")
+            if got.n:
+                links = links.unionByName(found)
+                component = common.connected_components(links)
+                version, dry = version + 1, 0
+        # small buckets are done: all their classes have met across components
+        rows[p] = rows[p].where(F.col("members") > SMALL_BUCKET) if left[p].large else None
+    return component
+
+
+def _still_open(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows (bucket, member, size, members, component) of buckets of several components.
+
+    A row's component so far is a member of the one that it belongs to now.
+    """
+    now = component.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    rows = rows.join(now, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    return rows.join(mixed, "bucket", "left_semi").select("bucket", "member", "size", "members", "component")
+
+
+def _next_pairs(rows: DataFrame, tried: DataFrame, percent: int, turn: int) -> DataFrame:
+    """New pairs across the components of open buckets."""
+    drawn = rows.where(F.col("members") > SMALL_BUCKET).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("member", "bucket", F.lit(turn)).alias("h"), "member", "size", "component")).alias("c"))
+    many = rows.join(drawn, "bucket").where(F.col("c.component") != F.col("component")).select("member", "size", F.col("c.member").alias("other"), F.col("c.size").alias("other_size"))
     few = rows.where(F.col("members") <= SMALL_BUCKET).select("bucket", "member", "size", "component")
     other = few.select("bucket", F.col("member").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
     close = few.join(other, "bucket").where("member < other and component <> other_component")
-    many = rows.where((F.col("members") > SMALL_BUCKET) & (F.col("c.component") != F.col("component"))).select("member", "size", F.col("c.member").alias("other"), F.col("c.size").alias("other_size"))
     pairs = _pairs(close.select("member", "size", "other", "other_size").unionByName(many), percent)
     return pairs.join(tried, ["a", "b"], "left_anti")
 
