@@ -120,7 +120,7 @@ def test_project(spark, tmp_path):
 
 
 def test_context_window():
-    w = agents.Window_(40, keep=2)
+    w = agents.ContextWindow(40, keep=2)
     w.add("system", "be kind")
     for i in range(6):
         w.add("user", f"message {i}. It has some words. And a third sentence {i}.")

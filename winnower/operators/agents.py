@@ -104,7 +104,7 @@ def compress_conversations(messages: DataFrame, budget: int | None = None, keep:
     return gone.where("verbatim or over is null").select("conv_id", "turn", "role", "text").unionByName(summary)
 
 
-class Window_:
+class ContextWindow:
     """A context window that is summarised when it is over its budget: the fold of one conversation."""
 
     def __init__(self, budget: int, keep: int = WINDOW_KEEP, dedup: bool = True) -> None:
@@ -136,7 +136,7 @@ def context_windows(messages: DataFrame, budget: int, keep: int = WINDOW_KEEP) -
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("turn", kind="stable")
-        w = Window_(budget, keep)
+        w = ContextWindow(budget, keep)
         for role, text in zip(f["role"], f["text"], strict=True):
             w.add(role, text)
         return pd.DataFrame({"conv_id": f["conv_id"].iloc[0], "pos": range(len(w.messages)), "role": [m[0] for m in w.messages], "text": [m[1] for m in w.messages]})
