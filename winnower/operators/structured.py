@@ -457,6 +457,7 @@ QUERIES = {
     "table_prune": table_prune_query, "log_fold": log_fold_query, "code_skeleton": code_skeleton_query,
 }
 ORACLES = {
+    "json_chain": "SELECT event_id, 'root.outer.inner.payload: ' || props AS compressed, 'ChainCollapse' AS strategy FROM events",
     "table_prune": "SELECT c_custkey, '| id | name |' || E'\\n| --- | --- |\\n| ' || c_custkey || ' | ' || c_name || ' |' AS pruned FROM customer",
     "code_skeleton": "SELECT event_id, E'import x\\nclass A:\\n    def f' || event_id || E'(self):\\n        ...\\n    def g(self):\\n        pass' AS code, 1::BIGINT AS functions FROM events",
     "diff_trim": """WITH l AS (SELECT doc_id, str_split(text, chr(10)) AS ls FROM documents), m AS (SELECT *, len(ls) // 2 + 1 AS k FROM l),
