@@ -98,14 +98,30 @@ STYLE_NOTICES = {
 }
 
 
+#: What a text must hold, lower-cased, for a pattern to be tried at all.
+HINTS = {
+    0: ["ignore", "disregard", "forget"], 1: ["ignora", "dimentica"], 2: ["new instruction"], 3: ["system prompt", "instructions", "initial prompt"], 4: ["your"], 5: ["you are now"],
+    6: ["developer mode", "dan mode", "jailbreak"], 7: ["pretend"], 8: ["act as if"], 9: ["<|im_start|>"], 10: ["system"], 11: ["```"], 13: ["send"],
+}
+
+
 def _sql(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
 def injection(text: str = "text", patterns: list[tuple[str, str, int]] | None = None) -> Column:
     """A struct (score, risk, categories) of a text, in one pass over it."""
+    hints = HINTS if patterns is None else {}
     patterns = INJECTION if patterns is None else patterns
-    fired = F.filter(F.array(*(F.when(F.col(text).rlike("(?i)" + p), F.struct(F.lit(c).alias("c"), F.lit(w).alias("w"))) for c, p, w in patterns)), lambda x: x.isNotNull())
+    low = F.lower(F.col(text))
+
+    def fires(k: int, p: str) -> Column:
+        there = F.lit(k not in hints)
+        for word in hints.get(k, []):
+            there = there | F.contains(low, F.lit(word))
+        return there & F.col(text).rlike("(?i)" + p)
+
+    fired = F.filter(F.array(*(F.when(fires(k, p), F.struct(F.lit(c).alias("c"), F.lit(w).alias("w"))) for k, (c, p, w) in enumerate(patterns))), lambda x: x.isNotNull())
     score = F.least(F.lit(100), F.aggregate(fired, F.lit(0), lambda a, x: a + x["w"]))
     risk = F.when(score == 0, "Safe").when(score <= 20, "Low").when(score <= 45, "Medium").when(score <= 70, "High").otherwise("Critical")
     return F.struct(score.alias("score"), risk.alias("risk"), F.array_sort(F.array_distinct(F.transform(fired, lambda x: x["c"]))).alias("categories"))
@@ -122,14 +138,11 @@ def safety(text: str = "text", extra_critical: list[str] | None = None, extra_wa
     """A struct (level, phrase); the first phrase that occurs decides."""
     out = F.struct(F.lit("Normal").alias("level"), F.lit("").alias("phrase"))
     ladder = [("Critical", CRITICAL + (extra_critical or [])), ("Critical", DESTRUCTIVE), ("Warning", WARNING + (extra_warning or []))]
-    t = F.col(text)
+    t, low = F.col(text), F.lower(F.col(text))
     for level, phrases in reversed(ladder):
-        first = F.lit(None).cast("string")
         for p in reversed(phrases):
-            first = F.when(t.rlike(_bounded(p)), p).otherwise(first)
-        # one alternation rules most texts out before phrases are tried one by one
-        some = t.rlike("|".join(f"(?:{_bounded(p)})" for p in phrases))
-        out = F.when(some, F.struct(F.lit(level).alias("level"), first.alias("phrase"))).otherwise(out)
+            # a search for the bare phrase is much cheaper than the pattern with its bounds
+            out = F.when(F.contains(low, F.lit(p)) & t.rlike(_bounded(p)), F.struct(F.lit(level).alias("level"), F.lit(p).alias("phrase"))).otherwise(out)
     return out
 
 

@@ -6,8 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables whose rows are long texts, worth spreading when they come in too few files.
+TEXTS = {"documents", "pages", "conversations"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver's.
+
+    A file's row group is one task's; where texts come in fewer files than there are
+    cores, as small tables do, rows are dealt out. Large tables are read as they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
