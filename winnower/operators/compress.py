@@ -16,6 +16,7 @@ from winnower.functions import tokens as T
 from winnower.functions.lexicon import DEFAULT, GENERIC_FALLBACK, ISO1, Lexicon
 from winnower.operators import langid
 from winnower.sources import tables
+from winnower.sources.scratch import cut
 
 LEVELS = ["none", "light", "semantic", "aggressive", "statistical", "syntactic"]
 ENDS = [".", "!", "?", "…"]
@@ -199,7 +200,8 @@ def _syntactic(words: Column) -> Column:
 
 def _statistical(base: DataFrame, r: Rules, text: str) -> DataFrame:
     """Words that score at least the median positive TF-IDF over the text's own sentences."""
-    key = base.withColumn("_row", F.monotonically_increasing_id())
+    # written once: the numbers of rows must be the same wherever they are joined
+    key = cut(base.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     per = key.select(F.col("_row"), F.col("detected"), F.posexplode("_tokens").alias("pos", "t"))
     from pyspark.sql import Window
 
