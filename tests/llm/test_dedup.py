@@ -50,6 +50,29 @@ def test_components_equal_brute_force(spark, percent):
     assert got == {i: (want[i], len(sets[i])) for i in ids}
 
 
+def test_template_family_equals_brute_force(spark):
+    """Copies that link with each other alone, in buckets of the whole family."""
+    rng = random.Random(5)
+    template = [f"t{k}" for k in range(300)]
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"e{rng.random()}"
+        return out
+
+    docs = []
+    for _ in range(300):
+        base = edited(template, 2)
+        docs += [edited(base, 2), edited(base, 2)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in docs]
+    links = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(links) > 200
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame, 0.85).collect()}
+    assert got == brute_components(range(len(docs)), links)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     same = []

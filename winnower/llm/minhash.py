@@ -9,8 +9,9 @@ What happens in a bucket is bounded. Documents with the same set of shingles are
 first folded into a class; of the classes in a bucket, each is joined to two
 centres only (a star around the smallest id and one around a hash-drawn member).
 All edges are confirmed on full sets. A bucket whose members are not one
-component after that is worked on again, with new centres and only across
-components, until its members have all met or a round over all bands finds no link.
+component after that is worked on again, only across components: a small one is
+finished at once, a large one gets a new centre, and what is then still open is
+finished by an exact filter on the differences of its members from its centre.
 """
 
 from __future__ import annotations
@@ -180,42 +181,86 @@ def _complete(shared: DataFrame, component: DataFrame, tried: DataFrame, links:
 
     Only buckets of more than two members can hold links that no star has tried. A
     turn takes a part of the bands, so that what one part links is known to the next.
+    What the turns leave open of the large buckets is finished at last.
     """
-    rows = [shared.where(f"members > 2 and band % {PARTS} = {p}").select("bucket", "member", "size", "members", F.col("member").alias("component")) for p in range(PARTS)]
-    seen, left = [-1] * PARTS, [None] * PARTS  # the version of the components that a part was last told
-    version, dry, turn = 0, 0, 0
-    while dry < PARTS:
-        p, turn, dry = turn % PARTS, turn + 1, dry + 1
-        if rows[p] is None:
+    large = []
+    for p in range(PARTS):
+        rows = shared.where(f"members > 2 and band % {PARTS} = {p}").select("bucket", "member", "size", "members", F.col("low.member").alias("centre"), F.col("member").alias("component"))
+        rows, left = common.counted(_still_open(rows, component), "open", F.count_if(F.col("members") > SMALL_BUCKET).alias("large"))
+        if left.large:
+            large.append(rows.where(F.col("members") > SMALL_BUCKET))
+        if not left.n:
             continue
-        if seen[p] != version:
-            rows[p], left[p] = common.counted(_still_open(rows[p], component), "open", F.count_if(F.col("members") > SMALL_BUCKET).alias("large"))
-            seen[p] = version
-        if not left[p].n:
-            rows[p] = None
-            continue
-        more, new = common.counted(_next_pairs(rows[p], tried, percent, turn), "edges")
+        more, new = common.counted(_next_pairs(rows, tried, percent, p + 1), "edges")
         if new.n:
             tried = tried.unionByName(more)
             found, got = common.counted(_confirm(more, sets, percent), "links")
             if got.n:
                 links = links.unionByName(found)
                 component = common.connected_components(links)
-                version, dry = version + 1, 0
-        # small buckets are done: all their classes have met across components
-        rows[p] = rows[p].where(F.col("members") > SMALL_BUCKET) if left[p].large else None
+    if not large:
+        return component
+    rest = large[0]
+    for rows in large[1:]:
+        rest = rest.unionByName(rows)
+    rest, left = common.counted(_still_open(rest, component), "open")
+    if left.n:
+        found, got = common.counted(_confirm(_close_pairs(rest, tried, sets, percent), sets, percent), "links")
+        if got.n:
+            component = common.connected_components(links.unionByName(found))
     return component
 
 
+def _close_pairs(rows: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of open buckets, across components, that can reach the similarity; exact.
+
+    Sets are replaced by their differences from the bucket's smallest class, which
+    has met all others: what a family has in common cancels out, and the symmetric
+    difference of two sets is that of their differences. Sets a and b are linked if
+    theirs has at most h = (a + b) (100 - percent) / (100 + percent) elements. By the
+    triangle inequality, two sets that are linked without both being linked to the
+    centre have differences x and y that share at least max(1, (x + y - h) / 2)
+    elements. With elements in order from the rarest, the first shared one is then
+    among the first (x - y + h) / 2 + 1 of x and (y - x + h) / 2 + 1 of y.
+    """
+    group = rows.where("member <> centre").groupBy("centre", "member").agg(F.first("size").alias("size"), F.first("component").alias("component"))
+    one = group.join(sets.select(F.col("doc_id").alias("member"), F.col("shingles").alias("sm")), "member")
+    both = one.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("sc")), "centre")
+    delta = F.concat(F.array_except("sm", "sc"), F.array_except("sc", "sm"))
+    apart = common.materialise(both.select("centre", "member", "size", "component", delta.alias("delta")), "apart")
+
+    tokens = apart.select("centre", "member", "component", F.explode("delta").alias("token"))
+    often = tokens.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    # elements of one component alone keep their places in the order, but pair nothing
+    often = common.materialise(often.select("centre", "token", "often", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
+    ranked = tokens.join(often, ["centre", "token"]).groupBy("centre", "member").agg(F.sort_array(F.collect_list(F.struct("often", "token", "mixed"))).alias("t"))
+    ranked = apart.select("centre", "member", "size", "component", F.size("delta").alias("d")).join(ranked, ["centre", "member"])
+    # the largest h of a set, and so the longest start: that of the larger of two differences
+    most = (F.col("size") * (100 - percent) / percent).cast("int") + 1
+    starts = ranked.select("centre", "member", "size", "component", "d", F.posexplode(F.slice("t", F.lit(1), most)).alias("at", "e"))
+    starts = starts.where("e.mixed").select("centre", F.col("e.token").alias("token"), "member", "size", "component", "d", "at")
+    # a table of its own, so that skewed partitions of the join can be split
+    starts = common.materialise(starts, "starts")
+
+    x, y = starts.alias("x"), starts.alias("y")
+    h = f"floor((x.size + y.size) * {100 - percent} / {100 + percent})"
+    meet = F.expr(
+        "x.centre = y.centre and x.token = y.token and x.component <> y.component and (x.d < y.d or x.d = y.d and x.member < y.member)"
+        f" and 2 * x.at <= x.d - y.d + {h} and 2 * y.at <= y.d - x.d + {h}"
+    )
+    pairs = x.join(y, meet).select(F.col("x.member").alias("member"), F.col("x.size").alias("size"), F.col("y.member").alias("other"), F.col("y.size").alias("other_size"))
+    return common.materialise(_pairs(pairs, percent).join(tried, ["a", "b"], "left_anti"), "edges")
+
+
 def _still_open(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """The rows (bucket, member, size, members, component) of buckets of several components.
+    """The rows (bucket, member, size, members, centre, component) of buckets of several components.
 
     A row's component so far is a member of the one that it belongs to now.
     """
     now = component.select(F.col("id").alias("component"), F.col("component").alias("now"))
     rows = rows.join(now, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return rows.join(mixed, "bucket", "left_semi").select("bucket", "member", "size", "members", "component")
+    return rows.join(mixed, "bucket", "left_semi").select("bucket", "member", "size", "members", "centre", "component")
 
 
 def _next_pairs(rows: DataFrame, tried: DataFrame, percent: int, turn: int) -> DataFrame:
