@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from winnower.operators import content, structured as S
+from winnower.operators import content, devtools, structured as S
 
 
 def test_array_forms():
@@ -106,3 +106,16 @@ def test_noise_and_success(spark):
     assert r[0].n == "red\ndone\n---"
     assert r[1].s == "added 3 packages in 2s\nfound 0 vulnerabilities"
     assert r[2].s is None and r[3].s is None
+
+
+def test_diffs_hold_every_line(spark, data):
+    docs = {r.doc_id: r.text for r in devtools.tables.read(spark, data, "documents").select("doc_id", "text").where("text is not null").collect()}
+    got = {r.doc_id: r["diff"].split("\n")[4:] for r in devtools._diffs(spark, data).where("diff is not null").collect()}
+    assert {i: len(x) for i, x in got.items()} == {i: len(t.split("\n")) for i, t in docs.items()}
+    assert max(map(len, got.values())) > 5
+
+
+def test_review_reads_long_diffs_to_the_end(spark):
+    diff = "+++ b/a.py\n@@ -0,0 +1,40 @@\n" + "\n".join("+add password field" if k % 2 else "+plain" for k in range(40))
+    out = devtools.review(spark.createDataFrame([(1, diff)], "doc_id long, diff string"), "doc_id").collect()
+    assert sorted(r.line for r in out) == list(range(2, 41, 2))

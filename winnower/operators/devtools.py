@@ -117,11 +117,12 @@ def symbols(text: str = "text") -> Column:
     return F.filter(F.transform(live, one), lambda s: s.isNotNull())
 
 
-def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A diff of each document: its first line goes, each other line with its number's word comes."""
+def _diffs(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """A diff of each document: one line goes, a line with its number's word comes for each (or the first ``most``) of the text."""
     lines = F.split("text", "\n")
+    lines = F.slice(lines, 1, most) if most else lines
     words = F.array(*map(F.lit, ["fix null check != null", "add password field", "sort the rows", "plain change", "todo later"]))
-    body = F.transform(F.slice(lines, 1, 5), lambda x, k: F.concat(F.lit("+"), F.element_at(words, (F.pmod(F.col("doc_id") + k, F.lit(5)) + 1).cast("int"))))
+    body = F.transform(lines, lambda x, k: F.concat(F.lit("+"), F.element_at(words, (F.pmod(F.col("doc_id") + k, F.lit(5)) + 1).cast("int"))))
     head = F.concat(F.lit("--- a/src/f"), F.col("doc_id"), F.lit(".py\n+++ b/src/f"), F.col("doc_id"), F.lit(".py\n@@ -1,2 +1,2 @@\n-old line\n"))
     return tables.read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.array_join(body, "\n")).alias("diff"))
 
@@ -131,7 +132,8 @@ def commit_message_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_diff_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review(_diffs(spark, sf_dir), "doc_id")
+    """The first five lines only, as in its SQL."""
+    return review(_diffs(spark, sf_dir, 5), "doc_id")
 
 
 def symbols_query(spark: SparkSession, sf_dir: str) -> DataFrame:
