@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -86,6 +87,15 @@ def test_what_does_not_validate_stays(spark):
     assert sorted(r.text for r in pii.pseudonymise(df).collect()) == sorted(texts)
 
 
+def test_long_secrets_are_replaced_whole(spark):
+    values = [("Ab3_-xY9" * 100)[:n] for n in (8, 64, 128, 129, 164, 700)]
+    df = spark.createDataFrame([(i, f"api_key = {v}, end") for i, v in enumerate(values)], "doc_id long, text string")
+    for r in pii.pseudonymise(df).collect():
+        new = r.text.removeprefix("api_key = ").removesuffix(", end")
+        assert r.pii_counts == {"secret": 1} and len(new) == len(values[r.doc_id])
+        assert re.fullmatch("[0-9a-f]+", new)
+
+
 def test_iban_and_plan_is_native(spark):
     df = spark.createDataFrame([("DE89 3704 0044 0532 0130 00",), ("GB82WEST12345698765432",)], "text string")
     out = [r.text for r in pii.pseudonymise(df).collect()]

@@ -26,7 +26,7 @@ ROUNDS = 8
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+"
-SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:(?<![a-z])(?:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_\-]{8,128}+)"
+SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:(?<![a-z])(?:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_\-]{8,}+)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 DATE = r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./\-][0-9])"
@@ -167,7 +167,7 @@ def _email(m: str, key: str) -> str:
 
 def _secret(m: str, key: str) -> str:
     tail = f"regexp_extract({m}, '([A-Za-z0-9_-]+)$', 1)"
-    long_ = f"substr(repeat({_digest(key, _text('secret'), 'z')}, 2), 1, length(z))"
+    long_ = f"substr(repeat({_digest(key, _text('secret'), 'z')}, cast(ceil(length(z) / 64) as int)), 1, length(z))"
     other = _let(tail, "z", f"concat(substr({m}, 1, length({m}) - length(z)), {long_})")
     return f"if({m} rlike '^AKIA[A-Z0-9]{{16}}$', concat('AKIA', upper(substr({_digest(key, _text('secret'), m)}, 1, 16))), {other})"
 
