@@ -2,36 +2,71 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to a Python worker. Texts may be long, so a batch is
-#: kept small: memory of a worker is bounded by this many of the longest texts.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch sent to a Python worker: whichever ends first, so
+#: that a worker holds this much or one longer text.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame, but: Iterable[str] = ()) -> list[Column]:
+    """The columns of ``df`` without those named as in ``but`` (in any case)."""
+    gone = {c.lower() for c in but}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+
+
+def free(df: DataFrame, *labels: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in labels:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for tables of long texts."""
+    """Keep Arrow batches small enough for tables of long texts.
+
+    The session's limits are lowered, never raised; Spark reads them when a plan
+    runs, so they stay lowered.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder is taken.
+    The cluster names the folder in ``spark.checkpoint.dir``; where that is unset, a
+    temporary folder is taken on a single machine (``local``), and on a cluster,
+    where no such folder is shared, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="winnower-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
