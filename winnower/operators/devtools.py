@@ -117,10 +117,9 @@ def symbols(text: str = "text") -> Column:
     return F.filter(F.transform(live, one), lambda s: s.isNotNull())
 
 
-def _diffs(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """A diff of each document: one line goes, a line with its number's word comes for each (or the first ``most``) of the text."""
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diff of each document: one line goes, a line with its number's word comes for each of the text."""
     lines = F.split("text", "\n")
-    lines = F.slice(lines, 1, most) if most else lines
     words = F.array(*map(F.lit, ["fix null check != null", "add password field", "sort the rows", "plain change", "todo later"]))
     body = F.transform(lines, lambda x, k: F.concat(F.lit("+"), F.element_at(words, (F.pmod(F.col("doc_id") + k, F.lit(5)) + 1).cast("int"))))
     head = F.concat(F.lit("--- a/src/f"), F.col("doc_id"), F.lit(".py\n+++ b/src/f"), F.col("doc_id"), F.lit(".py\n@@ -1,2 +1,2 @@\n-old line\n"))
@@ -132,8 +131,7 @@ def commit_message_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_diff_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five lines only, as in its SQL."""
-    return review(_diffs(spark, sf_dir, 5), "doc_id")
+    return review(_diffs(spark, sf_dir), "doc_id")
 
 
 def symbols_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +140,7 @@ def symbols_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.explode(symbols()).alias("s")).select("event_id", "s.name", "s.kind", "s.line")
 
 
-_LINES = """l AS (SELECT doc_id, unnest(generate_series(0, least(5, len(str_split(text, chr(10)))) - 1)) AS k FROM documents), w AS (SELECT doc_id, k, ['fix null check != null', 'add password field', 'sort the rows', 'plain change', 'todo later'][(doc_id + k) % 5 + 1] AS c FROM l)"""
+_LINES = """l AS (SELECT doc_id, unnest(generate_series(0, len(str_split(text, chr(10))) - 1)) AS k FROM documents), w AS (SELECT doc_id, k, ['fix null check != null', 'add password field', 'sort the rows', 'plain change', 'todo later'][(doc_id + k) % 5 + 1] AS c FROM l)"""
 QUERIES = {"commit_message": commit_message_query, "review_diff": review_diff_query, "code_symbols": symbols_query}
 ORACLES = {
     "review_diff": f"""WITH {_LINES} SELECT doc_id, 'src/f' || doc_id || '.py' AS file, (k + 2)::INTEGER AS line, CASE WHEN contains(c, 'password') THEN 'critical' WHEN contains(c, 'null') THEN 'bug' WHEN contains(c, 'todo') THEN 'info' ELSE 'perf' END AS severity,

@@ -252,6 +252,13 @@ def pii_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_vaults(v)
 
 
+def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of scores from 0 to 100, made from each order's key, in turn in each language."""
+    langs = F.array(*map(F.lit, ["en", "it", "de", "fr", "es", "xx"]))
+    o = tables.read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 101).alias("score"), langs[(F.col("o_orderkey") % 6).cast("int")].alias("lang"))
+    return o.select("o_orderkey", risk(F.col("score"), F.lit(False), F.col("lang")).alias("risk"), (F.col("score") >= BLOCK_AT).alias("blocked"))
+
+
 def validators_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 digits made from each order's key."""
     o = tables.read(spark, sf_dir, "orders").select("o_orderkey", F.lpad((F.col("o_orderkey") * 7919).cast("string"), 16, "4").alias("number"))
@@ -263,7 +270,7 @@ def validators_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", *(validators_column("number", n).alias(n.lower()) for n in ("PESEL_PL", "STEUER_ID_DE", "OIB_HR", "NN_BE")))
 
 
-QUERIES = {"pii_counts": pii_counts, "pii_score": pii_score, "pii_flags": pii_flags, "pii_mask": pii_mask, "pii_restore": pii_restore, "pii_vault": pii_vault, "validators_luhn": validators_luhn, "validators_national": validators_all}
+QUERIES = {"pii_counts": pii_counts, "pii_score": pii_score, "pii_flags": pii_flags, "risk_levels": risk_levels, "pii_mask": pii_mask, "pii_restore": pii_restore, "pii_vault": pii_vault, "validators_luhn": validators_luhn, "validators_national": validators_all}
 _D = "list_transform(range(1, {n} + 1), lambda k: substr({s}, k, 1)::INT)"
 ORACLES = {
     "pii_counts": "WITH d AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', E'\\n', 'g') AS t FROM documents) SELECT * FROM (" + " UNION ALL ".join(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from winnower.operators import admin, agents, compress, content, counting, devtools, guards, langid, ledger, privacy, retrieval, sessions, structured, summarize
+from winnower.operators import admin, agents, compress, content, counting, devtools, guards, langid, ledger, oracles, privacy, retrieval, sessions, structured, summarize
 from winnower.sources import stores
 from winnower.streaming import twins
 
@@ -13,3 +13,4 @@ ORACLES: dict[str, str] = {}
 for _m in _MODULES:
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
+ORACLES |= oracles.ORACLES
