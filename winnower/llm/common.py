@@ -9,6 +9,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes in one Arrow batch sent to a Python worker: whichever ends first, so
 #: that a worker holds this much or one longer text.
@@ -30,6 +31,17 @@ def columns(df: DataFrame, but: Iterable[str] = ()) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
 
 
+def plainly(df: DataFrame, but: Iterable[str], *more: Column) -> tuple[DataFrame, list[Column]]:
+    """The columns of ``df`` without ``but``, and ``more``, under names that Python functions take.
+
+    The second value gives the first columns their own names back.
+    """
+    gone = {c.lower() for c in but}
+    kept = [c for c in df.columns if c.lower() not in gone]
+    plain = df.select(*(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(kept)), *(c.alias(f"more{k}") for k, c in enumerate(more)))
+    return plain, [F.col(f"c{k}").alias(c) for k, c in enumerate(kept)]
+
+
 def free(df: DataFrame, *labels: str) -> list[str]:
     """Names for helper columns that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -42,6 +54,18 @@ def free(df: DataFrame, *labels: str) -> list[str]:
     return out
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row that Spark can hash (maps and variants can't be)."""
+    def plain(t: T.DataType) -> bool:
+        if isinstance(t, T.StructType):
+            return all(plain(f.dataType) for f in t.fields)
+        if isinstance(t, T.ArrayType):
+            return plain(t.elementType)
+        return not isinstance(t, (T.MapType, T.VariantType))
+
+    return F.xxhash64(F.lit(0), *(F.col(quoted(f.name)) for f in df.schema.fields if plain(f.dataType)))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for tables of long texts.
 

@@ -3,8 +3,11 @@
 A source that has n of N rows and the target weight w is to be repeated w N / n
 times on average. Each row's count is the inverse of that Poisson distribution at
 a uniform number hashed from the seed and the row's id: reproducible, independent
-of partitioning, and without any coordination between tasks. Copies are dealt out
-by a hash of (seed, id, copy) to all partitions and sorted by it there.
+of partitioning, and without any coordination between tasks. A rate above MAX_RATE
+is split into equal parts, whose counts are drawn apart and added up (a sum of
+Poisson numbers is one): so distribution functions stay short, and the copies of a
+row of a very rare source are made by many tasks. Copies are dealt out by a hash of
+(seed, id, copy) to all partitions and sorted by it there.
 """
 
 from __future__ import annotations
@@ -15,6 +18,10 @@ from pyspark.sql import functions as F
 from winnower.llm import common
 
 SEED = "mix-1"
+#: Rates above this are drawn in parts.
+MAX_RATE = 64.0
+#: Each part numbers its copies from its own multiple of this; no part draws so many.
+PART_COPIES = 256
 
 
 def uniform(*parts: Column) -> Column:
@@ -43,7 +50,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, s
     sources weigh the same; with them, a source not named weighs nothing. A null
     source is a source of its own, named by the key ``""`` if by any.
     """
-    sizes = docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = docs.groupBy(F.col(common.quoted(source)).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         w = F.lit(1.0)
     elif weights:
@@ -59,24 +66,41 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, s
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED, source: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """The mixed rows: ``docs``' columns, copy (1, 2, ...), rate and shuffle_key.
-
-    Rows that draw no copy go; that is the sampling asked for. Rows that share an
-    id have the same draw. Null ids share one draw. Same-named columns are
-    replaced, others pass through. An empty table gives an empty result.
+    """The mixed rows: ``docs``' columns, copy, rate and shuffle_key.
+
+    ``copy`` numbers a row's copies 1, 2, ...; where the rate is above MAX_RATE, each
+    part of it numbers its own from the next multiple of PART_COPIES. Rows that draw no
+    copy go; that is the sampling asked for. Rows that share an id have the same draw;
+    rows without an id draw by a hash of their columns. A null source is a source, a
+    null, empty or very long text a text. Same-named columns are replaced, others pass
+    through, whatever their names. An empty table gives an empty result.
     """
     rates = repetition_rates(docs, weights, source)
-    cdf = rates.withColumn("_cdf", F.when(F.col("rate") > 0, poisson_cdf("rate")))
-    cdf = common.materialise(cdf.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), "_cdf"), "rates")
-    rest = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
-    own = docs.select(*(F.col(f"`{c}`") for c in rest))
+    name, rate, parts, cdf, key, part, n, copy = common.free(docs, "name", "mean", "parts", "cdf", "key", "part", "n", "nth")
+    split = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE)).cast("int")
+    steps = rates.where("rate > 0").select(F.col("source").alias(name), F.col("rate").alias(rate), split.alias(parts), (F.col("rate") / split).alias("each"))
+    steps, most = common.counted(steps.select(name, rate, parts, poisson_cdf("each").alias(cdf)), "rates", F.max(parts).alias("parts"))
+    rest = common.columns(docs, ("copy", "rate", "shuffle_key"))
+    the_id = F.col(common.quoted(id_col)).cast("string")
+    the_id = F.when(the_id.isNull(), F.concat(F.lit("null:"), common.content_hash(docs).cast("string"))).otherwise(the_id)
+    own = docs.select("*", the_id.alias(key))
     # one small row for each source; Spark broadcasts it only if its size allows
-    drawn = own.join(cdf, F.col(source).cast("string").eqNullSafe(F.col("_source")))
-    u = uniform(F.lit(seed), F.col(id_col))
-    drawn = drawn.withColumn("_u", u).withColumn("_k", F.coalesce(F.expr("size(filter(_cdf, c -> c <= _u))"), F.lit(0))).where("_cdf is not null and _k > 0")
-    copies = drawn.select(*(F.col(f"`{c}`") for c in rest), F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("copy"), F.col("_rate").alias("rate"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy"))))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    drawn = own.join(steps, F.col(common.quoted(source)).cast("string").eqNullSafe(F.col(name)))
+
+    def copies(rows: DataFrame, u: Column, first: Column) -> tuple[DataFrame, Column]:
+        rows = rows.withColumn(n, F.size(F.filter(cdf, lambda c: c <= u))).where(F.col(n) > 0)
+        return rows, F.explode(F.sequence(first + 1, first + F.col(n))).alias(copy)
+
+    rows, each = copies(drawn.where(F.col(parts) == 1), uniform(F.lit(seed), F.col(key)), F.lit(0))
+    out = rows.select(*rest, each, F.col(rate), F.col(key))
+    if (most.parts or 1) > 1:
+        many = drawn.where(F.col(parts) > 1).withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+        # parts of one row go to many tasks before their copies are made
+        many = many.repartition(key, part)
+        rows, each = copies(many, uniform(F.lit(seed), F.col(key), F.col(part)), F.col(part) * PART_COPIES)
+        out = out.unionAll(rows.select(*rest, each, F.col(rate), F.col(key)))
+    final = out.select(*rest, F.col(copy).alias("copy"), F.col(rate).alias("rate"), F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(key), F.col(copy))).alias("shuffle_key"))
+    return final.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
