@@ -43,6 +43,16 @@ def prune(ledger: DataFrame, now: Column, days: int) -> DataFrame:
     return ledger.where(F.col("ts").isNull() | (F.col("ts") >= now - F.make_interval(days=F.lit(days))))
 
 
+def without_session(ledger: DataFrame, session: str) -> DataFrame:
+    """What stays after a session's records are deleted; records without a session stay."""
+    return ledger.where(~F.col("session_id").eqNullSafe(F.lit(session)))
+
+
+def emptied(ledger: DataFrame) -> DataFrame:
+    """The ledger after a reset: its columns and no record."""
+    return ledger.limit(0)
+
+
 def recent(ledger: DataFrame, limit: int, tie: str) -> DataFrame:
     return ledger.orderBy(F.desc("ts"), F.desc(tie)).limit(limit)
 
@@ -187,6 +197,11 @@ def learn_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(from_events(spark, sf_dir), requests)
 
 
+def decisions(records: DataFrame, limit: int = 50, ts: str = "ts", tie: str = "id") -> DataFrame:
+    """The most recent decisions."""
+    return records.orderBy(F.desc(ts), F.desc(tie)).limit(limit)
+
+
 def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.read(spark, sf_dir, "documents").select(F.sha2(F.concat(F.lit("decision:"), "doc_id"), 256).alias("id"), "doc_id", "text")
     return redacted(d).select("id", "doc_id", "secret", F.sha2("text", 256).alias("stored"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from winnower.functions.checksums import VALIDATORS
 from winnower.functions.pii_rules import RULES, Rule
 from winnower.sources import tables
+from winnower.sources.scratch import cut
 
 BLOCK_AT = 61
 AROUND = 25
@@ -179,10 +180,20 @@ def vault_rows(df: DataFrame, session: str) -> DataFrame:
 
 
 def merge_vaults(vault: DataFrame, into: str = "session_id") -> DataFrame:
-    """Vault rows of several sessions renumbered under one: equal values share a placeholder."""
+    """Vault rows of several sessions renumbered under one: equal values share a placeholder.
+
+    Values are numbered by the number that they had, then by themselves: first the
+    parts of equal number and beginning, then the values of a part, so that no task
+    has all of a session's.
+    """
     w = vault.groupBy(into, "original_value").agg(F.min(F.struct("n", "category")).alias("f"))
-    n = F.row_number().over(Window.partitionBy(into).orderBy("f.n", "original_value"))
-    return w.select(into, n.alias("n"), F.concat(F.lit("[PG_"), n, F.lit("]")).alias("placeholder"), "original_value", "f.category")
+    w = cut(w.select(into, "original_value", F.col("f.n").alias("_n"), F.col("f.category").alias("category"), F.substring("original_value", 1, 3).alias("_part")), "values")
+    parts = w.groupBy(into, "_n", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(into).orderBy("_n", "_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = cut(parts.select(F.col(into).alias("_into"), F.col("_n").alias("_pn"), F.col("_part").alias("_pp"), F.coalesce(before, F.lit(0)).alias("_before")), "parts")
+    rows = w.join(parts, F.col(into).eqNullSafe(F.col("_into")) & (F.col("_n") == F.col("_pn")) & (F.col("_part") == F.col("_pp")))
+    n = (F.row_number().over(Window.partitionBy(into, "_n", "_part").orderBy("original_value")) + F.col("_before")).cast("int")
+    return rows.select(into, n.alias("n"), F.concat(F.lit("[PG_"), n, F.lit("]")).alias("placeholder"), "original_value", "category")
 
 
 def risk(score: Column, blank: Column, lang: Column | None = None) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from winnower.functions import tokens as T
 from winnower.operators.ledger import PRICE
 from winnower.sources import tables
+from winnower.sources.scratch import cut
 
 MAX_REPEATS, LOOP_WINDOW, TTL = 2, 10, 600
 RATE_LIMIT, RATE_SECONDS = 120, 60
@@ -80,11 +81,21 @@ def auto_ban(offenses: DataFrame, client: str, tie: str, ts: str = "ts", thresho
 
 
 def daily_budget(calls: DataFrame, tokens: str, order: list[str], cap: float, ts: str = "ts") -> DataFrame:
-    """``calls`` with the day's spend up to the call, and whether it is over the cap."""
-    day = F.to_date(ts)
-    w = Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum(F.col(tokens)).over(w) * F.lit(PRICE)
-    return calls.withColumn("day", day).withColumn("spent", F.round(spent, 8)).withColumn("over", F.col("spent") > cap)
+    """``calls`` with the day's spend up to the call, and whether it is over the cap.
+
+    Calls are in order of ``order``, which begins with the time. Sums go over the
+    minutes of a day, then over the calls of a minute, so that no task has a whole day.
+    """
+    day, slot = F.to_date(ts), F.floor(_seconds(ts) / 60_000_000)
+    rows = calls.withColumn("day", day).withColumn("_slot", slot)
+    slots = rows.groupBy("day", "_slot").agg(F.sum(tokens).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("day").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    # a table of its own, of at most 1,440 rows a day
+    slots = cut(slots.select(F.col("day").alias("_day"), F.col("_slot").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before")), "minutes")
+    rows = rows.join(slots, F.col("day").eqNullSafe(F.col("_day")) & F.col("_slot").eqNullSafe(F.col("_at")))
+    own = F.sum(F.col(tokens)).over(Window.partitionBy("day", "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    spent = (F.col("_before") + F.coalesce(own, F.lit(0))) * F.lit(PRICE)
+    return rows.withColumn("spent", F.round(spent, 8)).withColumn("over", F.col("spent") > cap).drop("_slot", "_day", "_at", "_before")
 
 
 def read_lifecycle(accesses: DataFrame, session: str, path: str, turn: str, op: str, quiet: int = QUIET_TURNS) -> DataFrame:

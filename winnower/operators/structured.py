@@ -6,7 +6,6 @@ so that a batch crosses to Python once.
 
 from __future__ import annotations
 
-import difflib  # noqa: F401
 import hashlib
 import html
 import json
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnower.operators import content
+from winnower.operators import content, langid
 from winnower.operators.compress import compress
 from winnower.operators.retrieval import B, DELTA, K1, fingerprint
 from winnower.sources import tables
@@ -341,12 +340,12 @@ def fold_log(text: str | None, distance: int = LOG_BITS, most: int = LOG_LINES)
 _CRUSHED = T.StructType([T.StructField("compressed", T.StringType()), T.StructField("strategy", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("kept", T.LongType()), T.StructField("dropped", T.StringType())])
 
 
-def crush(text: str | Column, query: str | Column = "", max_rows: int = ROWS) -> Column:
+def crush(text: str | Column, query: str | Column = "", max_rows: int | Column = ROWS) -> Column:
     @F.pandas_udf(_CRUSHED)
-    def run(texts: pd.Series, queries: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([crush_json(t, q or "", max_rows) for t, q in zip(texts, queries, strict=True)], columns=_CRUSHED.names)
+    def run(texts: pd.Series, queries: pd.Series, most: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([crush_json(t, q or "", int(n)) for t, q, n in zip(texts, queries, most, strict=True)], columns=_CRUSHED.names)
 
-    return run(F.col(text) if isinstance(text, str) else text, F.lit(query) if isinstance(query, str) else query)
+    return run(F.col(text) if isinstance(text, str) else text, F.lit(query) if isinstance(query, str) else query, F.lit(max_rows) if isinstance(max_rows, int) else max_rows)
 
 
 def _mapped(f):
@@ -376,22 +375,27 @@ def route(df: DataFrame, text: str = "text", profile: str = "balanced", command:
 
     Known commands that succeeded are collapsed; else noise is stripped and each
     type goes to its compressor; what doesn't shrink stays as it was. Each
-    compressor sees only the rows of its type.
+    compressor sees only the rows of its type. Long texts are treated harder: the
+    level goes up a step or two, and fewer rows of an array stay.
     """
-    level, rows = content.PROFILES[profile]
-    base = df.withColumn("_clean", F.when(F.col(text).rlike(r"\x1b|\r|[⠋⠙⠹⠸⠼⠴⠦⠧⠇⠏█▓▒░]|%"), content.strip_noise(text)).otherwise(F.col(text)))
+    level, rows = content.adaptive(text, profile)
+    start = content.LADDER.index(content.PROFILES[profile][0])
+    base = df.withColumn("_level", level).withColumn("_most", rows).withColumn("_clean", F.when(F.col(text).rlike(r"\x1b|\r|[⠋⠙⠹⠸⠼⠴⠦⠧⠇⠏█▓▒░]|%"), content.strip_noise(text)).otherwise(F.col(text)))
     base = base.withColumn("_collapsed", content.collapse_success(text, command, None) if command else F.lit(None).cast("string"))
     base = base.withColumn("type", content.content_type("_clean"))
     of = lambda *kinds: F.when(F.col("type").isin(*kinds) & F.col("_collapsed").isNull(), F.col("_clean"))
-    base = base.withColumn("_json", crush(of("JsonArray", "JsonObject"), "", rows)).withColumn("_diff", diff_trim(of("GitDiff"))).withColumn("_table", table_prune(of("Tabular")))
+    base = base.withColumn("_json", crush(of("JsonArray", "JsonObject"), "", F.col("_most"))).withColumn("_diff", diff_trim(of("GitDiff"))).withColumn("_table", table_prune(of("Tabular")))
     base = base.withColumn("_prose", F.coalesce(F.when(F.col("type") == "Html", html_extract(of("Html"))), of("PlainText", "SearchResults"), F.lit("")))
     base = base.withColumn("_code", F.when(F.col("type") == "SourceCode", content.strip_code("_clean")))
     base = base.withColumn("_log", log_fold(of("LogOrStackTrace")))
-    done = compress(base, level, "_prose")
+    done, prose = langid.detect(base, "_prose"), F.lit("")
+    for name in content.LADDER[start : start + 3]:
+        done = compress(done.withColumn("_own", F.when(F.col("_level") == name, F.col("_prose")).otherwise("")), name, "_own", lang="detected").withColumnRenamed("compressed_text", f"_{name}")
+        prose = F.when(F.col("_level") == name, F.col(f"_{name}")).otherwise(prose)
     kind = F.col("type")
     out = (
         F.when(F.col("_collapsed").isNotNull(), F.col("_collapsed")).when(kind.isin("JsonArray", "JsonObject"), F.col("_json.compressed")).when(kind == "GitDiff", F.col("_diff"))
-        .when(kind == "Tabular", F.col("_table")).when(kind == "SourceCode", F.col("_code")).when(kind == "LogOrStackTrace", F.col("_log")).otherwise(F.col("compressed_text"))
+        .when(kind == "Tabular", F.col("_table")).when(kind == "SourceCode", F.col("_code")).when(kind == "LogOrStackTrace", F.col("_log")).otherwise(prose)
     )
     name = F.when(F.col("_collapsed").isNotNull(), "SuccessCollapse").when(kind.isin("JsonArray", "JsonObject"), F.concat(F.lit("Json:"), "_json.strategy")).otherwise(kind)
     done = done.withColumn("_out", out)

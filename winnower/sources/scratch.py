@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -24,6 +24,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def observed(df: DataFrame, label: str, seen: Observation) -> tuple[DataFrame, dict]:
+    """As ``cut``, with the metrics of ``seen``, which some step of ``df`` observes."""
+    out = cut(df, label)
+    return out, seen.get
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 

@@ -29,6 +29,36 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType = SCHEM
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def migrate_json_array(spark: SparkSession, legacy: str, path: str, schema: T.StructType = SCHEMA) -> bool:
+    """Turn a legacy file of one JSON array into a JSON-lines ledger, once; whether that was done.
+
+    Nothing happens if the ledger is there already or the legacy file isn't. The
+    legacy file is renamed, so that it is not read again.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(legacy), jvm.org.apache.hadoop.fs.Path(path)
+    files = old.getFileSystem(conf)
+    if new.getFileSystem(conf).exists(new) or not files.exists(old):
+        return False
+    append_jsonl(read_json_array(spark, legacy, schema), path)
+    return files.rename(old, jvm.org.apache.hadoop.fs.Path(f"{legacy}.migrated"))
+
+
+def export_all_keys(spark: SparkSession, records: str, path: str) -> DataFrame:
+    """Export JSON lines to CSV under all keys that any record has, in order of first appearance.
+
+    What comes back is the table that was written. Keys are few: their names go to
+    the driver.
+    """
+    lines = spark.read.text(records).where(F.trim("value") != "")
+    place = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    keys = lines.select(place.alias("at"), F.posexplode(F.json_object_keys("value")).alias("pos", "key"))
+    names = [r.key for r in keys.groupBy("key").agg(F.min(F.struct("at", "pos")).alias("first")).orderBy("first").collect()]
+    out = lines.select(*(F.get_json_object("value", f"$['{k}']").alias(k) for k in names))
+    export_csv(out, path)
+    return out
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
@@ -62,6 +92,49 @@ def jdbc_append(df: DataFrame, url: str, table: str, properties: dict[str, str]
     df.write.jdbc(url, table, mode="append", properties=properties or {})
 
 
+def calls_by_session(calls: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Sessions (session_id, first_seen, last_seen, call_count, tokens_saved) of calls, added to those known."""
+    new = calls.groupBy("session_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("call_count"), F.coalesce(F.sum("tokens_saved"), F.lit(0)).cast("long").alias("tokens_saved"))
+    if known is None:
+        return new
+    both = known.select(new.columns).unionAll(new)
+    return both.groupBy("session_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("call_count").alias("call_count"), F.sum("tokens_saved").alias("tokens_saved"))
+
+
+def expired(sessions: DataFrame, now, ttl_seconds: int) -> DataFrame:
+    """Sessions that have been quiet for longer than the time to live."""
+    return sessions.where(F.col("last_seen") < now - F.make_interval(secs=F.lit(ttl_seconds)))
+
+
+class MemoryTable:
+    """A table with a time to live for entries and a bound on their number, kept as Parquet.
+
+    ``put`` replaces entries of the same key (the last one written counts); where more
+    than ``most`` are alive, the oldest go. ``get`` joins, so that many keys are asked
+    for at once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ttl_seconds: int, most: int) -> None:
+        self.spark, self.path, self.ttl, self.most = spark, path, ttl_seconds, most
+        self.schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("created_at", T.TimestampType())])
+
+    def entries(self) -> DataFrame:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(conf).exists(at):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def put(self, rows: DataFrame, now) -> None:
+        new = rows.select("key", "value", F.lit(now).cast("timestamp").alias("created_at"))
+        last = self.entries().unionAll(new).groupBy("key").agg(F.max(F.struct("created_at", "value")).alias("e")).select("key", "e.value", "e.created_at")
+        overwrite(newest(live(last, F.lit(now).cast("timestamp"), self.ttl), self.most, tie="key"), self.path)
+
+    def get(self, keys: DataFrame, now) -> DataFrame:
+        """Rows (key, value) of the keys asked for that are alive."""
+        return live(self.entries(), F.lit(now).cast("timestamp"), self.ttl).join(keys.select("key").distinct(), "key", "left_semi").select("key", "value")
+
+
 def live(table: DataFrame, now, ttl_seconds: int, created: str = "created_at") -> DataFrame:
     """Entries younger than the time to live."""
     return table.where(F.col(created) >= now - F.make_interval(secs=F.lit(ttl_seconds)))

@@ -2,7 +2,7 @@
 
 Time is event time. Rows later than the watermark are dropped. State is bounded:
 a session keeps its last calls, a client the times inside its window, and both are
-given up after a time without events.
+given up when the watermark has passed the time from which they count no more.
 """
 
 from __future__ import annotations
@@ -60,12 +60,29 @@ def _micros(ts: pd.Series) -> list[int]:
     return [int(x.value // 1000) for x in pd.to_datetime(ts)]
 
 
+def _in_time(frames: Iterator[pd.DataFrame], state: GroupState) -> pd.DataFrame:
+    """The rows of a batch in order, without those behind the watermark (Spark's own filter lags it by a batch)."""
+    rows = pd.concat(list(frames))
+    late = state.getCurrentWatermarkMs() * 1000
+    return rows[[t >= late for t in _micros(rows["ts"])]].sort_values(["ts", "event_id"])
+
+
+def _until(state: GroupState, micros: int) -> None:
+    """Give the state up when the watermark passes a time."""
+    state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
 def loop_streaks(stream: DataFrame, session: str, fp: str, limit: int = MAX_REPEATS, window: int = LOOP_WINDOW, ttl: int = TTL) -> DataFrame:
     """Rows (event_id, repeat_count, verdict), as the batch form gives them."""
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         past = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = _in_time(frames, state)
+        if not len(rows) and not state.exists:
+            return
         out = []
         for event, print_, t in zip(rows["event_id"], rows["fp"], _micros(rows["ts"]), strict=True):
             streak = 0
@@ -76,27 +93,34 @@ def loop_streaks(stream: DataFrame, session: str, fp: str, limit: int = MAX_REPE
             out.append((event, streak + 1, "Block" if streak >= limit else "Allow"))
             past = [*past, (print_, t)][-window:]
         state.update(([p for p, _ in past], [t for _, t in past]))
+        _until(state, past[-1][1] + ttl * 1_000_000)
         yield pd.DataFrame(out, columns=["event_id", "repeat_count", "verdict"])
 
     rows = stream.withWatermark("ts", LATE).select(F.col(session).cast("string").alias("session"), F.col(fp).alias("fp"), "ts", "event_id")
-    return rows.groupBy("session").applyInPandasWithState(fold, "event_id long, repeat_count long, verdict string", "fps array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session").applyInPandasWithState(fold, "event_id long, repeat_count long, verdict string", "fps array<string>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_hits(stream: DataFrame, client: str, limit: int = RATE_LIMIT, seconds: int = RATE_SECONDS) -> DataFrame:
     """Rows (event_id, in_window, limited): requests of a client in the last seconds, in order of (ts, event_id)."""
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         past = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = _in_time(frames, state)
+        if not len(rows) and not state.exists:
+            return
         out = []
         for event, t in zip(rows["event_id"], _micros(rows["ts"]), strict=True):
             past = [x for x in past if x >= t - seconds * 1_000_000] + [t]
             out.append((event, len(past), len(past) > limit))
         state.update((past,))
+        _until(state, past[-1] + seconds * 1_000_000)
         yield pd.DataFrame(out, columns=["event_id", "in_window", "limited"])
 
     rows = stream.withWatermark("ts", LATE).select(F.col(client).cast("string").alias("client"), "ts", "event_id")
-    return rows.groupBy("client").applyInPandasWithState(fold, "event_id long, in_window long, limited boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("client").applyInPandasWithState(fold, "event_id long, in_window long, limited boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Breaker:
@@ -122,14 +146,20 @@ def breakers(stream: DataFrame, upstream: str, failed: str) -> DataFrame:
     """Rows (event_id, state): what an upstream's breaker was at each call."""
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         b = Breaker(list(state.get[0]), state.get[1]) if state.exists else Breaker()
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = _in_time(frames, state)
+        if not len(rows) and not state.exists:
+            return
         out = [(e, b.see(t, bool(f))) for e, t, f in zip(rows["event_id"], _micros(rows["ts"]), rows["failed"], strict=True)]
         state.update((b.failures, b.open_until))
+        _until(state, max([b.open_until, *(t + FAILURE_SECONDS * 1_000_000 for t in b.failures)]))
         yield pd.DataFrame(out, columns=["event_id", "state"])
 
     rows = stream.withWatermark("ts", LATE).select(F.col(upstream).cast("string").alias("upstream"), F.col(failed).alias("failed"), "ts", "event_id")
-    return rows.groupBy("upstream").applyInPandasWithState(fold, "event_id long, state string", "failures array<long>, open_until long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("upstream").applyInPandasWithState(fold, "event_id long, state string", "failures array<long>, open_until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +169,13 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "calls")
 
 
+def stream_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user that end after a day without events."""
+    s = events(spark, sf_dir).withWatermark("ts", LATE).groupBy("user_id", F.session_window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("calls"))
+    out = run_available(s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "calls"), "complete")
+    return out.select("user_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")), "calls")
+
+
 def stream_loop_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("session", F.pmod("user_id", F.lit(10))).withColumn("fp", F.sha2("event_type", 256))
     return run_available(loop_streaks(e, "session", "fp", ttl=86_400))
@@ -155,9 +192,20 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from winnower.operators import sessions as _batch  # noqa: E402
 
-QUERIES = {"stream_sessions": stream_sessions, "stream_loop_guard": stream_loop_guard, "stream_rate_limit": stream_rate_limit, "stream_breaker": stream_breaker}
+QUERIES = {"stream_sessions": stream_sessions, "stream_session_windows": stream_session_windows, "stream_loop_guard": stream_loop_guard, "stream_rate_limit": stream_rate_limit, "stream_breaker": stream_breaker}
 ORACLES = {
     "stream_sessions": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls FROM events GROUP BY ALL",
+    "stream_session_windows": """WITH e AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 DAY, true)::INT AS fresh FROM events WHERE ts IS NOT NULL),
+      s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+      SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS calls FROM s GROUP BY user_id, n""",
+    "stream_breaker": f"""WITH RECURSIVE e AS (SELECT event_id, user_id % 5 AS u, epoch_us(ts) AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS k FROM events),
+      r AS (SELECT u, 0::BIGINT AS k, NULL::BIGINT AS event_id, []::BIGINT[] AS past, 0::BIGINT AS until, 'closed' AS state FROM (SELECT DISTINCT u FROM e)
+        UNION ALL SELECT e.u, e.k, e.event_id,
+          CASE WHEN e.t < r.until THEN r.past WHEN NOT e.failed THEN [] WHEN len(list_filter(r.past, lambda x: x >= e.t - {FAILURE_SECONDS * 1_000_000})) >= {FAILURES - 1} THEN [] ELSE list_append(list_filter(r.past, lambda x: x >= e.t - {FAILURE_SECONDS * 1_000_000}), e.t) END,
+          CASE WHEN e.t >= r.until AND e.failed AND len(list_filter(r.past, lambda x: x >= e.t - {FAILURE_SECONDS * 1_000_000})) >= {FAILURES - 1} THEN e.t + {OPEN_SECONDS * 1_000_000} ELSE r.until END,
+          CASE WHEN e.t < r.until THEN 'open' WHEN e.failed AND len(list_filter(r.past, lambda x: x >= e.t - {FAILURE_SECONDS * 1_000_000})) >= {FAILURES - 1} THEN 'tripped' ELSE 'closed' END
+        FROM r JOIN e ON e.u = r.u AND e.k = r.k + 1)
+      SELECT event_id, state FROM r WHERE event_id IS NOT NULL""",
     "stream_loop_guard": _batch.ORACLES["loop_guard"],
     "stream_rate_limit": "SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w > 2 AS limited FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS n FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW)",
 }
