@@ -102,6 +102,8 @@ class Rules:
             parts = [x["w"].alias("w"), x["punct"].alias("punct"), lemma.alias("lemma"), self.kept(x["w"], x["low"], x["starts"]).alias("kept"), is_number(x["w"]).alias("num"), self._listed(x["low"], lemma).alias("fun")]
             if hard:
                 parts.append((self.generic(lemma) | descriptive(lemma, self.lang)).alias("weak"))
+            if hard and self.lexicon.pos:
+                parts += [self.is_a("VERB", x["low"]).alias("verb"), descriptive(lemma, self.lang).alias("descr")]
             return F.struct(*parts)
 
         return F.transform(F.transform(tokens, seen), judged)
@@ -109,6 +111,10 @@ class Rules:
     def _listed(self, low: Column, lemma: Column) -> Column:
         return self.function(low) | self.function(lemma) if self.lexicon.lemma else self.function(low)
 
+    def is_a(self, tag: str, low: Column) -> Column:
+        """Whether a lower-case word's part of speech is ``tag``; false where it isn't known."""
+        return _by_language(self.lang, {iso3: [w for w, t in table.items() if t == tag] for iso3, table in self.lexicon.pos.items()}, low)
+
     def lemma(self, w: Column) -> Column:
         """The lemma of a word, lower-cased; adverbs stay as they are."""
         low = F.lower(w)
@@ -160,7 +166,7 @@ def compress(df: DataFrame, level: str, text: str = "text", lang: str | None = N
         base = base.withColumn("_words", r.words(F.col("_tokens"), hard=True)).withColumn("_hard", aggressive(F.col("_words")))
         base = base.withColumn("_kept", F.when(F.size("_hard") > 0, F.col("_hard")).otherwise(semantic(F.col("_words")))).drop("_hard", "_words")
     elif level == "syntactic":
-        base = base.withColumn("_words", r.words(F.col("_tokens"), hard=True)).withColumn("_kept", _syntactic(F.col("_words"))).drop("_words")
+        base = base.withColumn("_words", r.words(F.col("_tokens"), hard=True)).withColumn("_kept", _syntactic(F.col("_words"), bool(lexicon.pos))).drop("_words")
     else:
         raise ValueError(f"unknown level {level}")
     n = F.size("_tokens")
@@ -173,19 +179,41 @@ def _is_end(t: Column) -> Column:
     return t.isin(ENDS)
 
 
-def _syntactic(words: Column) -> Column:
+def _elided(words: Column) -> Column:
+    """For each word whether it is in a leading clause that the sentence's last verb makes superfluous.
+
+    A sentence of two verbs or more loses all before the last one, names apart, if
+    between its verbs there are only function words, descriptive words, signs and
+    names: a content word there means coordinated clauses. One letter stands for each
+    token (Verb, Glue, End, X for content), and a regular expression judges a sentence.
+    """
+    def letter(x: Column) -> Column:
+        verb = ~x["punct"] & ~x["kept"] & x["verb"]
+        return F.when(x["punct"] & _is_end(x["w"]), "E").when(verb, "V").when(x["punct"] | x["kept"] | x["fun"] | x["descr"], "G").otherwise("X")
+
+    def judged(c: Column) -> Column:
+        head = F.regexp_extract(c, r"^([GX]*(?:VG*)+)V[GX]*$", 1)
+        return F.concat(F.repeat(F.lit("D"), F.length(head)), F.substring(c, F.length(head) + 1, F.length(c)))
+
+    clauses = F.split(F.array_join(F.transform(words, letter), ""), "E", -1)
+    marks = F.split(F.array_join(F.transform(clauses, judged), "E"), "")
+    return F.transform(F.arrays_zip(words.alias("x"), marks.alias("m")), lambda p: (p["m"] == "D") & ~p["x"]["kept"])
+
+
+def _syntactic(words: Column, tagged: bool = False) -> Column:
     """Content words, and function words right before one; no sentence goes empty.
 
-    Without part-of-speech data there is no elision of leading clauses.
+    With part-of-speech data (``tagged``) leading clauses are elided.
     """
     live = F.transform(words, lambda x: ~x["punct"] & (x["kept"] | ~(x["num"] | x["fun"] | x["weak"])))
     follows = F.concat(F.slice(live, 2, F.greatest(F.size(live), F.lit(1))), F.array(F.lit(False)))
-    pairs = F.arrays_zip(words.alias("x"), live.alias("live"), follows.alias("follows"))
+    gone = _elided(words) if tagged else F.transform(words, lambda x: F.lit(False))
+    pairs = F.arrays_zip(words.alias("x"), live.alias("live"), follows.alias("follows"), gone.alias("gone"))
 
     def form(p: Column) -> Column:
         x = p["x"]
         glue = ~x["num"] & x["fun"]
-        kept = ~x["punct"] & (x["kept"] | F.when(glue, p["follows"]).otherwise(p["live"]))
+        kept = ~x["punct"] & ~p["gone"] & (x["kept"] | F.when(glue, p["follows"]).otherwise(p["live"]))
         shown = F.when(x["kept"] | glue, x["w"]).otherwise(x["lemma"])
         return F.struct(x["w"].alias("w"), x["punct"].alias("punct"), kept.alias("keep"), shown.alias("shown"))
 
