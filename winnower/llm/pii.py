@@ -9,11 +9,15 @@ a secret) gets a keyed digest of the same shape.
 
 A Feistel network needs no power of two: the domain is cut into a pair (a, b) of
 residues modulo (ma, mb), and in turn a keyed hash of one is added to the other.
-All work is done in one pass over the texts that hold a digit or an ``@``.
+The pseudonym is one step on in the order that the network gives: it is mapped,
+one is added, and it is mapped back, so that no value is its own pseudonym. Hashes
+are keyed as in HMAC with SHA-256. All work is done in one pass over the texts that hold a digit or an ``@``.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +29,22 @@ ROUNDS = 8
 #: Dates from 1900-01-01 to 2099-12-31: 73,049 = 319 x 229 days.
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+"
+#: Lengths of account numbers by country, as registered (fixed values).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
 SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:(?<![a-z])(?:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_\-]{8,}+)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 DATE = r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./\-][0-9])"
-IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+# a number of four parts behind a "v" or "version" is a version
+IP = r"(?<![0-9.]|[vV]|[Vv]ersion[ :=]|VERSION[ :=])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<sep>[ \-])[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?:1[ .\-])?(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4})(?![0-9])"
 KINDS = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ssn", SSN), ("date", DATE), ("ip", IP), ("card", CARD), ("phone", PHONE)]
@@ -42,23 +56,37 @@ def _text(s: str) -> str:
 
 
 def _digest(key: str, *parts: str) -> str:
-    return f"sha2(concat_ws(':', {_text(key)}, {', '.join(parts)}), 256)"
+    """HMAC-SHA-256 of the parts joined by colons, in hexadecimal."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (f"X'{bytes(x ^ pad for x in raw).hex()}'" for pad in (0x36, 0x5C))
+    return f"sha2(concat({outer}, unhex(sha2(concat({inner}, cast(concat_ws(':', {', '.join(parts)}) as binary)), 256))), 256)"
 
 
 def _round(key: str, tweak: str, i: str, x: str, m: str) -> str:
     return f"pmod(cast(conv(substr({_digest(key, tweak, i, x)}, 1, 15), 16, 10) as bigint), {m})"
 
 
-def _feistel(a: str, b: str, ma: str, mb: str, key: str, tweak: str, restore: bool) -> str:
-    """A struct (a, b): the permuted pair of residues modulo (ma, mb)."""
-    turns, sign = (f"sequence({ROUNDS}, 1, -1)", "-") if restore else (f"sequence(1, {ROUNDS})", "+")
+def _network(pair: str, ma: str, mb: str, key: str, tweak: str, back: bool) -> str:
+    """A struct (a, b): the pair of residues modulo (ma, mb) through the network, or back."""
+    turns, sign = (f"sequence({ROUNDS}, 1, -1)", "-") if back else (f"sequence(1, {ROUNDS})", "+")
     return (
-        f"aggregate({turns}, named_struct('a', cast({a} as bigint), 'b', cast({b} as bigint)), (s, i) -> if(i % 2 = 1,"
+        f"aggregate({turns}, {pair}, (s, i) -> if(i % 2 = 1,"
         f" named_struct('a', pmod(s.a {sign} {_round(key, tweak, 'i', 's.b', ma)}, {ma}), 'b', s.b),"
         f" named_struct('a', s.a, 'b', pmod(s.b {sign} {_round(key, tweak, 'i', 's.a', mb)}, {mb}))))"
     )
 
 
+def _feistel(a: str, b: str, ma: str, mb: str, key: str, tweak: str, restore: bool) -> str:
+    """A struct (a, b): the permuted pair of residues, never the pair itself (unless ma = mb = 1)."""
+    start = f"named_struct('a', cast({a} as bigint), 'b', cast({b} as bigint))"
+    if restore:
+        step = f"named_struct('a', pmod(walk.a - if(walk.b = 0, 1, 0), cast({ma} as bigint)), 'b', pmod(walk.b - 1, cast({mb} as bigint)))"
+    else:
+        step = f"named_struct('a', pmod(walk.a + if(walk.b = {mb} - 1, 1, 0), cast({ma} as bigint)), 'b', pmod(walk.b + 1, cast({mb} as bigint)))"
+    return _let(_network(start, ma, mb, key, tweak, False), "walk", _network(step, ma, mb, key, tweak, True))
+
+
 def _let(value: str, name: str, body: str) -> str:
     """``body`` with ``name`` standing for ``value``, which is computed once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -114,12 +142,13 @@ def _iban(m: str, key: str, restore: bool) -> str:
     ok = f"{_mod97('concat(substr(q, 5), substr(q, 1, 4))')} = 1"
     # the account's digits are permuted among themselves, its letters stay
     inner = _only_digits("substr(q, 5)")
+    sized = "case substr(q, 1, 2) " + " ".join(f"when '{c}' then length(q) = {n}" for c, n in IBAN_LENGTHS.items()) + " else false end"
     new = _let(_digits(inner, key, "concat('iban', substr(q, 1, 2))", restore), "x", _let(_refill("substr(q, 5)", "x"), "w", f"concat(substr(q, 1, 2), lpad(cast(98 - {_mod97('concat(w, substr(q, 1, 2), 0, 0)')} as string), 2, '0'), w)"))
     spaced = (
         f"aggregate(split({m}, ''), named_struct('k', 1, 'out', ''), (s, c) -> if(c = ' ', named_struct('k', s.k, 'out', concat(s.out, ' ')),"
         f" named_struct('k', s.k + 1, 'out', concat(s.out, substr(y, s.k, 1)))), s -> s.out)"
     )
-    return _let(plain, "q", f"if(length(q) between 15 and 34 and {inner} <> '' and {ok}, {_let(new, 'y', spaced)}, {m})")
+    return _let(plain, "q", f"if({sized} and {inner} <> '' and {ok}, {_let(new, 'y', spaced)}, {m})")
 
 
 def _ip(m: str, key: str, restore: bool) -> str:
@@ -188,23 +217,24 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text: str = "text", resto
 
     pii_counts is a map from kind to the number of pieces replaced (empty: none).
     Pieces that don't validate stay and are not counted. A null text stays null, an
-    empty one empty. ``restore`` turns the pseudonyms of numbers and dates back;
+    empty one empty; texts, secrets and addresses of any length are taken whole, and
+    an empty table gives an empty result. ``restore`` turns the pseudonyms of numbers and dates back;
     those of e-mail addresses and secrets stay. A column named pii_counts is
     replaced, all others pass through, repeated rows give equal rows.
     """
     pattern = _text("|".join(f"(?:{p})" for _, p in KINDS))
-    source = f"`{text}`"
+    source = common.quoted(text)
     found = f"transform(regexp_extract_all({source}, {pattern}, 0), m -> {_let(_kind('m'), 'k', _let(_replaced('m', 'k', key, restore), 'r', 'named_struct(' + _text('k') + ', if(r <> m, k, null), ' + _text('r') + ', r)'))})"
     some = f"{source} rlike '[0-9@]|AKIA|(?i:token|passw|secret|api_?key)'"
-    rest = [c for c in docs.columns if c != "pii_counts"]
-    hits = docs.select(*(F.col(f"`{c}`") for c in rest), F.expr(f"case when {some} then {found} end").alias("_winnower_hits"))
+    (hit,) = common.free(docs, "hits")
+    hits = docs.select("*", F.expr(f"case when {some} then {found} end").alias(hit))
     gaps = f"split({source}, {pattern}, -1)"
-    joined = f"array_join(zip_with({gaps}, _winnower_hits.r, (g, r) -> concat(g, coalesce(r, ''))), '')"
-    new = F.expr(f"case when size(_winnower_hits) > 0 then {joined} else {source} end")
-    kinds = "filter(_winnower_hits.k, x -> x is not null)"
+    joined = f"array_join(zip_with({gaps}, {hit}.r, (g, r) -> concat(g, coalesce(r, ''))), '')"
+    new = F.expr(f"case when size({hit}) > 0 then {joined} else {source} end")
+    kinds = f"filter({hit}.k, x -> x is not null)"
     counts = f"map_from_entries(transform(array_sort(array_distinct({kinds})), x -> struct(x, size(filter({kinds}, y -> y = x)))))"
     counts = F.expr(f"coalesce(case when size({kinds}) > 0 then {counts} end, cast(map() as map<string,int>))")
-    return hits.select(*((new.alias(c) if c == text else F.col(f"`{c}`")) for c in rest), counts.alias("pii_counts"))
+    return hits.select(*((new.alias(c) if c == text else F.col(common.quoted(c))) for c in docs.columns if c.lower() != "pii_counts"), counts.alias("pii_counts"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
