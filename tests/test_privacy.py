@@ -91,3 +91,21 @@ def test_requests(spark):
     got = guard(spark, ["/a?q=1 union select 2", "/a?x=%3Cscript%3E", "/../etc/passwd", "/.env", "/ok"], guards.inspect_request("text"))
     assert [x and x.category for x in got] == ["SqlInjection", "Xss", "PathTraversal", "ScannerProbe", None]
     assert guard(spark, ["/.env"], guards.inspect_request("text", disabled=["ScannerProbe"])) == [None]
+
+
+def test_luhn_without_python_agrees(spark):
+    from winnower.operators import privacy
+
+    rows = [("4111111111111111",), ("4111111111111112",), ("378282246310005",), ("6011 0000 0000 0004",), ("123",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "v string")
+    for r in df.select("v", privacy.luhn_column("v").alias("a"), privacy.validators_column("v", "LUHN").alias("b")).collect():
+        assert bool(r.a) == bool(r.b), r.v
+
+
+def test_column_rules_and_python_rules_agree(spark, data):
+    """Counts by Java's regular expressions and by Python's, over the same texts."""
+    from winnower.operators import privacy
+
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    for r in d.select("doc_id", privacy.counts().alias("j"), privacy.analysis()["matches"].alias("p")).collect():
+        assert (r.j or {}) == (r.p or {}), r.doc_id

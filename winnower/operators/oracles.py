@@ -67,6 +67,50 @@ _FLAGS = [(c, 100 * i + k, f) for c, own in _TAGS.items() for k, (i, f) in enume
 _FLAGS += [(c, 100_000 + 100 * i + k, f) for i, (cats, fs) in enumerate(privacy.DERIVED) for c in sorted(cats) for k, f in enumerate(fs)]
 _LEVELS = " ".join(f"WHEN score > {x} THEN {len(privacy.LEVELS) - k}" for k, x in enumerate(reversed(privacy.LEVELS)))
 
+
+
+def _sum(s: str, weights: list[int]) -> str:
+    return "(" + " + ".join(f"{w} * substr({s}, {k + 1}, 1)::BIGINT" for k, w in enumerate(weights)) + ")"
+
+
+def _digit(s: str, n: int) -> str:
+    return f"substr({s}, {n}, 1)::BIGINT"
+
+
+def _doubled(s: str, n: int, first: int) -> str:
+    """The sum of n digits, each second one (from ``first`` on) doubled, with the digits of a product added."""
+    return "(" + " + ".join(f"({_digit(s, k)} * 2 // 10 + {_digit(s, k)} * 2 % 10)" if (k - first) % 2 == 0 else _digit(s, k) for k in range(1, n + 1)) + ")"
+
+
+_UP, _DOWN = [1, 2, 3, 4, 5, 6, 7, 8, 9, 1], [3, 4, 5, 6, 7, 8, 9, 1, 2, 3]
+_TWO = f"CASE WHEN {_sum('n11', _UP)} % 11 < 10 THEN {_sum('n11', _UP)} % 11 ELSE {_sum('n11', _DOWN)} % 11 % 10 END = {_digit('n11', 11)}"
+_CN = [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2]
+_VALID = {
+    "bsn_nl": f"{_sum('n9', [9, 8, 7, 6, 5, 4, 3, 2, -1])} % 11 = 0",
+    "nif_pt": f"CASE WHEN {_sum('n9', [9, 8, 7, 6, 5, 4, 3, 2])} % 11 < 2 THEN 0 ELSE 11 - {_sum('n9', [9, 8, 7, 6, 5, 4, 3, 2])} % 11 END = {_digit('n9', 9)}",
+    "afm_gr": f"{_sum('n9', [256, 128, 64, 32, 16, 8, 4, 2])} % 11 % 10 = {_digit('n9', 9)}",
+    "cpr_dk": f"{_sum('n10', [4, 3, 2, 7, 6, 5, 4, 3, 2, 1])} % 11 = 0",
+    "egn_bg": f"{_sum('n10', [2, 4, 8, 5, 10, 9, 7, 3, 6])} % 11 % 10 = {_digit('n10', 10)}",
+    "rnokpp_ua": f"((({_sum('n10', [-1, 5, 7, 9, 4, 6, 10, 5, 7])} % 11) + 11) % 11) % 10 = {_digit('n10', 10)}",
+    "personnummer_se": f"(10 - {_doubled('n10', 9, 1)} % 10) % 10 = {_digit('n10', 10)}",
+    "ak_lt": _TWO,
+    "ik_ee": _TWO,
+    "pk_lv": f"CASE 11 - {_sum('n11', [1, 6, 3, 7, 9, 10, 5, 8, 4, 2])} % 11 WHEN 10 THEN 0 ELSE 11 - {_sum('n11', [1, 6, 3, 7, 9, 10, 5, 8, 4, 2])} % 11 END = {_digit('n11', 11)}",
+    "piva_it": f"(10 - {_doubled('n11', 10, 1)} % 10) % 10 = {_digit('n11', 11)}",
+    "inn_ru": f"{_sum('n12', [7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10 = {_digit('n12', 11)} AND {_sum('n12', [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10 = {_digit('n12', 12)}",
+    "cnp_ro": f"CASE {_sum('n13', [2, 7, 9, 1, 4, 6, 3, 5, 8, 2, 7, 9])} % 11 WHEN 10 THEN 1 ELSE {_sum('n13', [2, 7, 9, 1, 4, 6, 3, 5, 8, 2, 7, 9])} % 11 END = {_digit('n13', 13)}",
+    "emso_si": f"CASE WHEN {_sum('n13', [7, 6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2])} % 11 < 2 THEN 0 ELSE 11 - {_sum('n13', [7, 6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2])} % 11 END = {_digit('n13', 13)}",
+    "nir_fr": "97 - substr(n15, 1, 13)::BIGINT % 97 = substr(n15, 14, 2)::BIGINT",
+    "nif_es": "substr('TRWAGMYFPDXBNJZSQVHLCKE', (substr(es, 1, 8)::BIGINT % 23 + 1)::INT, 1) = substr(es, 9, 1)",
+    "hetu_fi": "substr('0123456789ABCDEFHJKLMNPRSTUVWXY', ((substr(fi, 1, 6) || substr(fi, 8, 3))::BIGINT % 31 + 1)::INT, 1) = substr(fi, 11, 1)",
+    "ahv_ch": f"(10 - {_sum('ch', [1, 3] * 6)} % 10) % 10 = {_digit('ch', 13)}",
+    "id_cn": f"substr('10X98765432', ({_sum('cn', _CN)} % 11 + 1)::INT, 1) = substr(cn, 18, 1)",
+}
+#: ``lpad`` cuts a longer number on the right, in either engine.
+_NUMBERS = "SELECT o_orderkey, k, " + ", ".join(f"lpad(k, {n}, '37') AS n{n}" for n in privacy._BY_LENGTH) + """, lpad(k, 8, '3') || l AS es, lpad(k, 6, '0') || 'A' || lpad(k, 3, '0') || l AS fi, '756' || lpad(k, 10, '37') AS ch,
+    lpad(k, 17, '37') || CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE (o_orderkey % 10)::VARCHAR END AS cn
+  FROM (SELECT o_orderkey, (o_orderkey * 104729 + 1234567)::VARCHAR AS k, substr('TRWAGMYFPDXBNJZSQVHLCKE', (o_orderkey % 23 + 1)::INT, 1) AS l FROM orders)"""
+
 # --- texts ------------------------------------------------------------------------------
 
 _W = r"[\p{L}\p{M}\p{N}_]"
@@ -101,6 +145,7 @@ ORACLES = {
       SELECT doc_id, coalesce(string_agg(w, ',' ORDER BY r) FILTER (r <= 20), '') AS keywords FROM documents LEFT JOIN o USING (doc_id) GROUP BY doc_id""",
     "pii_flags": f"""WITH c AS ({privacy.ORACLES["pii_counts"]}), f(category, ord, flag) AS (VALUES {", ".join(f"('{c.replace(chr(39), chr(39) * 2)}', {o}, '{f.replace(chr(39), chr(39) * 2)}')" for c, o, f in _FLAGS)}),
       m AS (SELECT doc_id, flag, min(ord) AS ord FROM c LEFT JOIN f USING (category) GROUP BY ALL) SELECT doc_id, coalesce(string_agg(flag, '; ' ORDER BY ord), '') AS flags FROM m GROUP BY doc_id""",
+    "validators_more": f"WITH n AS ({_NUMBERS}) SELECT o_orderkey, " + ", ".join(f"{v} AS {k}" for k, v in _VALID.items()) + " FROM n",
     "risk_levels": f"""WITH s AS (SELECT o_orderkey, o_orderkey % 101 AS score, ['en', 'it', 'de', 'fr', 'es', 'xx'][o_orderkey % 6 + 1] AS lang FROM orders), n(lang, names) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in privacy.RISK.items())})
       SELECT o_orderkey, coalesce(n.names, e.names)[CASE {_LEVELS} ELSE 0 END + 1] AS risk, score >= {privacy.BLOCK_AT} AS blocked FROM s LEFT JOIN n USING (lang), (SELECT names FROM n WHERE lang = 'en') e""",
 }

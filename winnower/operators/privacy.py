@@ -273,7 +273,7 @@ def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validators_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 digits made from each order's key."""
     o = tables.read(spark, sf_dir, "orders").select("o_orderkey", F.lpad((F.col("o_orderkey") * 7919).cast("string"), 16, "4").alias("number"))
-    return o.select("o_orderkey", luhn_column("number").alias("valid"))
+    return o.select("o_orderkey", validators_column("number", "LUHN").alias("valid"))
 
 
 def validators_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +281,24 @@ def validators_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", *(validators_column("number", n).alias(n.lower()) for n in ("PESEL_PL", "STEUER_ID_DE", "OIB_HR", "NN_BE")))
 
 
-QUERIES = {"pii_counts": pii_counts, "pii_score": pii_score, "pii_flags": pii_flags, "risk_levels": risk_levels, "pii_mask": pii_mask, "pii_restore": pii_restore, "pii_vault": pii_vault, "validators_luhn": validators_luhn, "validators_national": validators_all}
+#: Validators by the length of the numbers that they take, for the query below.
+_BY_LENGTH = {
+    9: ["BSN_NL", "NIF_PT", "AFM_GR"], 10: ["CPR_DK", "EGN_BG", "RNOKPP_UA", "PERSONNUMMER_SE"], 11: ["AK_LT", "IK_EE", "PK_LV", "PIVA_IT"], 12: ["INN_RU"], 13: ["CNP_RO", "EMSO_SI"], 15: ["NIR_FR"],
+}
+
+
+def validators_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of each length, and some with letters, made from each order's key."""
+    o = tables.read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 104_729 + 1_234_567).cast("string").alias("k"))
+    out = o.select("o_orderkey", "k", *(F.lpad("k", n, "37").alias(f"n{n}") for n in _BY_LENGTH))
+    letter = F.substring(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), (F.col("o_orderkey") % 23 + 1).cast("int"), F.lit(1))
+    out = out.withColumn("es", F.concat(F.lpad("k", 8, "3"), letter)).withColumn("fi", F.concat(F.lpad("k", 6, "0"), F.lit("A"), F.lpad("k", 3, "0"), letter)).withColumn("ch", F.concat(F.lit("756"), F.lpad("k", 10, "37")))
+    out = out.withColumn("cn", F.concat(F.lpad("k", 17, "37"), F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise((F.col("o_orderkey") % 10).cast("string"))))
+    pairs = [(f"n{n}", v) for n, vs in _BY_LENGTH.items() for v in vs] + [("es", "NIF_ES"), ("fi", "HETU_FI"), ("ch", "AHV_CH"), ("cn", "ID_CN")]
+    return out.select("o_orderkey", *(validators_column(c, v).alias(v.lower()) for c, v in pairs))
+
+
+QUERIES = {"pii_counts": pii_counts, "pii_score": pii_score, "pii_flags": pii_flags, "risk_levels": risk_levels, "pii_mask": pii_mask, "pii_restore": pii_restore, "pii_vault": pii_vault, "validators_luhn": validators_luhn, "validators_national": validators_all, "validators_more": validators_more}
 _D = "list_transform(range(1, {n} + 1), lambda k: substr({s}, k, 1)::INT)"
 ORACLES = {
     "pii_counts": "WITH d AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', E'\\n', 'g') AS t FROM documents) SELECT * FROM (" + " UNION ALL ".join(
