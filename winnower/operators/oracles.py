@@ -8,7 +8,7 @@ from __future__ import annotations
 from winnower.functions import tokens as T
 from winnower.functions.lexicon import DEFAULT, ISO1
 from winnower.functions.pii_rules import RULES
-from winnower.operators import privacy, summarize
+from winnower.operators import compress, counting, devtools, langid, privacy, summarize
 
 # --- hashes -----------------------------------------------------------------------------
 
@@ -117,6 +117,9 @@ _W = r"[\p{L}\p{M}\p{N}_]"
 _KINDS = [(n, p.replace("(?U:[\\w.+-])", "[\\p{L}\\p{M}\\p{N}_.+-]").replace("(?U:[\\w-])", "[\\p{L}\\p{M}\\p{N}_-]")) for n, p in T.KINDS]
 _KIND = "CASE " + " ".join(f"WHEN regexp_full_match(t, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in _KINDS[:-1]) + " ELSE 'Other' END"
 
+#: The made-up changes of the diffs, with the first three words of each that can be in a subject.
+_TYPE = "CASE " + " ".join(f"WHEN contains(t, '{w}') THEN '{n}'" for w, n in devtools.TYPES) + " ELSE 'feat' END"
+
 ORACLES = {
     "simhash": f"WITH {_PRINTS} SELECT doc_id, fingerprint FROM prints",
     "near_dup_pairs": f"""WITH {_PRINTS}, c AS (SELECT fingerprint, min(doc_id) AS id FROM prints GROUP BY fingerprint)
@@ -148,4 +151,14 @@ ORACLES = {
     "validators_more": f"WITH n AS ({_NUMBERS}) SELECT o_orderkey, " + ", ".join(f"{v} AS {k}" for k, v in _VALID.items()) + " FROM n",
     "risk_levels": f"""WITH s AS (SELECT o_orderkey, o_orderkey % 101 AS score, ['en', 'it', 'de', 'fr', 'es', 'xx'][o_orderkey % 6 + 1] AS lang FROM orders), n(lang, names) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in privacy.RISK.items())})
       SELECT o_orderkey, coalesce(n.names, e.names)[CASE {_LEVELS} ELSE 0 END + 1] AS risk, score >= {privacy.BLOCK_AT} AS blocked FROM s LEFT JOIN n USING (lang), (SELECT names FROM n WHERE lang = 'en') e""",
+    "commit_message": f"""WITH {devtools._LINES}, ws(c, ws) AS (VALUES ('fix null check != null', ['fix', 'null', 'check']), ('add password field', ['add', 'password', 'field']), ('sort the rows', ['sort', 'rows']), ('plain change', ['plain', 'change']), ('todo later', ['todo', 'later'])),
+      f AS (SELECT doc_id, c, min(k) AS k FROM w GROUP BY doc_id, c), g AS (SELECT doc_id, list_concat(flatten(list(ws ORDER BY k)), ['old', 'line'])[1:5] AS ks, string_agg(c, ' ') AS t FROM f JOIN ws USING (c) GROUP BY doc_id),
+      a AS (SELECT doc_id, {_TYPE} AS type, array_to_string(ks, ' ') AS s FROM g), b AS (SELECT doc_id, type, CASE WHEN type = 'fix' AND length(s) > 3 THEN 'handle ' || s ELSE s END AS s FROM a),
+      c AS (SELECT doc_id, type, CASE WHEN length(s) > 45 THEN substr(s, 1, 42) || '…' ELSE s END AS s FROM b), d AS (SELECT *, type || '(src): ' || s AS whole, 50 - (length(type) + 7) AS room FROM c),
+      e AS (SELECT doc_id, type, whole, CASE WHEN length(whole) > 50 AND length(s) > 10 AND room > 5 AND length(s) > room THEN substr(s, 1, room - 1) || '…' ELSE s END AS subject FROM d)
+      SELECT doc_id, type, 'src' AS scope, subject, type || '(src): ' || subject AS message FROM e""",
+    "shared_context": f"""WITH det AS ({langid._DETECT} SELECT doc_id, detected AS iso3 FROM verdict), {compress._TOKENS.replace("JOIN iso USING (lang)", "JOIN det USING (doc_id)")},
+      short AS ({compress._OUT.format(shown=compress._SHOWN, keep=compress._SEM)}), last AS (SELECT source AS key, max(doc_id) AS doc_id FROM documents GROUP BY source)
+      SELECT key, text AS original, compressed_text AS compressed, {counting._PIECES} AS tokens_before, {counting._PIECES.replace("text", "compressed_text")} AS tokens_after
+      FROM last JOIN documents USING (doc_id) JOIN short USING (doc_id)""",
 }
