@@ -8,7 +8,7 @@ from __future__ import annotations
 from winnower.functions import tokens as T
 from winnower.functions.lexicon import DEFAULT, ISO1
 from winnower.functions.pii_rules import RULES
-from winnower.operators import compress, counting, devtools, langid, privacy, summarize
+from winnower.operators import compress, counting, devtools, langid, privacy, structured, summarize
 
 # --- hashes -----------------------------------------------------------------------------
 
@@ -135,6 +135,18 @@ ORACLES = {
       r AS (SELECT conv_id, turn, k, true AS kept, [k] AS held FROM s WHERE k = 1
         UNION ALL SELECT s.conv_id, s.turn, s.k, NOT list_has_any(r.held, s.os), CASE WHEN list_has_any(r.held, s.os) THEN r.held ELSE list_append(r.held, s.k) END FROM r JOIN s ON s.conv_id = r.conv_id AND s.k = r.k + 1)
       SELECT conv_id, turn, kept FROM r""",
+    "log_fold": f"""WITH RECURSIVE x AS (SELECT conv_id, turn, text, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) AS pos FROM conversations),
+      l AS (SELECT conv_id, line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text, pos) AS k FROM x WHERE regexp_matches(line, '[^\\s\\v\\x{{85}}\\p{{Z}}]')),
+      t AS (SELECT conv_id, k, unnest(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+')) AS w FROM l), words AS (SELECT DISTINCT w FROM t), {_FNV},
+      tf AS (SELECT conv_id, k, w, count(*) AS n FROM t GROUP BY ALL), votes AS (SELECT conv_id, k, {_VOTES} FROM tf JOIN v USING (w) GROUP BY ALL), p AS (SELECT conv_id, k, ({_BITS}) AS p FROM votes),
+      s AS (SELECT conv_id, k, line, coalesce(CASE WHEN p >= 9223372036854775808::HUGEINT THEN p - 18446744073709551616::HUGEINT ELSE p END, 0)::BIGINT AS p FROM l LEFT JOIN p USING (conv_id, k)),
+      r AS (SELECT conv_id, k, line, [p] AS ps, 1::BIGINT AS g FROM s WHERE k = 1
+        UNION ALL SELECT s.conv_id, s.k, s.line, CASE WHEN len(list_filter(r.ps, lambda q: bit_count(xor(q, s.p)) <= {structured.LOG_BITS})) = 0 THEN list_append(r.ps, s.p) ELSE r.ps END,
+          coalesce(list_filter(range(1, len(r.ps) + 1), lambda i: bit_count(xor(r.ps[i], s.p)) <= {structured.LOG_BITS})[1], len(r.ps) + 1)
+        FROM r JOIN s ON s.conv_id = r.conv_id AND s.k = r.k + 1 WHERE len(r.ps) < {structured.LOG_LINES}),
+      g AS (SELECT conv_id, g, arg_min(line, k) AS line, count(*) AS n FROM r GROUP BY conv_id, g),
+      o AS (SELECT conv_id, string_agg(line || CASE WHEN n > 1 THEN '  [×' || n || ']' ELSE '' END, chr(10) ORDER BY g) AS folded FROM g GROUP BY conv_id)
+      SELECT c.conv_id, coalesce(o.folded, c.log) AS folded FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS log FROM conversations GROUP BY conv_id) c LEFT JOIN o USING (conv_id)""",
     "typed_split": f"""SELECT doc_id, type, count(*) AS n, sum(length(t))::BIGINT AS chars FROM (SELECT doc_id, t, {_KIND} AS type FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{"|".join(f"(?:{p})" for _, p in _KINDS).replace(chr(39), chr(39) * 2)}')) AS t FROM documents)) GROUP BY doc_id, type""",
     "han_segments": "WITH w AS (SELECT event_id, ['我们', '不是', '问题', '这', '学生', '大学生'] AS w FROM events) SELECT event_id, w[event_id % 6 + 1] || '|的|' || w[(event_id + 2) % 6 + 1] || '|' || w[(event_id + 4) % 6 + 1] AS tokens FROM w",
     "sentences": f"WITH {_SENTENCES} SELECT doc_id, pos, sentence FROM sen",
