@@ -14,16 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from winnower.llm import common
 
 FEATURES = 1 << 15
-#: The documented bound of the training sample: so many rows of each language.
-SAMPLE_PER_LANGUAGE = 400
-#: And of the languages: the most frequent ones.
-MAX_LANGUAGES = 500
+#: The documented bounds of the training sample: so many rows of each language, and
+#: so many in all, which many languages share out equally.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 800, 16_000
 EPOCHS = 3
 UNKNOWN = "und"
 _BLANK = np.uint64(32)
@@ -112,10 +112,15 @@ def counts_of(texts: list[str | None]):
 
 @dataclass
 class Model:
-    """Weights (features x languages), biases, idf and the calibration's temperature."""
+    """Sparse weights, biases, idf and the calibration's temperature.
+
+    ``weights`` has a row for each feature with a weight that is not zero, and
+    ``row_of`` the row of each feature; features without one share an empty row.
+    """
 
     languages: list[str]
     weights: np.ndarray
+    row_of: np.ndarray
     bias: np.ndarray
     idf: np.ndarray
     temperature: float
@@ -128,7 +133,7 @@ class Model:
 
     def predict(self, counts: np.ndarray) -> tuple[str, float]:
         at, x = self.vector(counts)
-        z = (x @ self.weights[at] + self.bias) / self.temperature
+        z = (x @ self.weights[self.row_of[at]] + self.bias) / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         k = int(p.argmax())
@@ -139,7 +144,6 @@ def fit(languages: list[str], rows: list[tuple[str, np.ndarray, np.ndarray]], id
     """FTRL-proximal on (language, feature ids, counts); each fifth row calibrates."""
     n_classes = len(languages)
     number = {x: k for k, x in enumerate(languages)}
-    model = Model(languages, np.zeros((FEATURES, n_classes)), np.zeros(n_classes), idf, 1.0)
     z, n = np.zeros((FEATURES + 1, n_classes)), np.zeros((FEATURES + 1, n_classes))
     data = []
     for lang, at, counts in rows:
@@ -168,11 +172,12 @@ def fit(languages: list[str], rows: list[tuple[str, np.ndarray, np.ndarray]], id
             z[at] += g - sigma * w
             n[at] += g2
     full = weights(np.arange(FEATURES + 1))
-    model.weights, model.bias = full[:-1], full[-1]
     scores = np.array([x @ full[at] for _, at, x in held])
     truth = np.array([y for y, _, _ in held])
-    model.temperature = _temperature(scores, truth)
-    return model
+    some = np.flatnonzero(full[:-1].any(axis=1))
+    row_of = np.zeros(FEATURES, np.int32)
+    row_of[some] = np.arange(1, len(some) + 1)
+    return Model(languages, np.vstack([np.zeros((1, n_classes)), full[some]]), row_of, full[-1], idf, _temperature(scores, truth))
 
 
 def _temperature(scores: np.ndarray, truth: np.ndarray) -> float:
@@ -234,48 +239,53 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     return total, rows
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """A model of the rows of ``labelled``; None if no row has a language and a text."""
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """A model of the rows of ``labelled``; None if no row has a language and a text.
+
+    It learns from at most ``per_language`` rows of each language and ``sample_rows``
+    in all, drawn by a hash of their ids and texts: rows that share an id are drawn
+    each by its own text, equal rows together. Null languages and texts are left out,
+    empty texts have no features, very long ones are counted whole.
+    """
     common.small_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("draw")).where("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
+    rows = labelled.select(F.col(common.quoted(text)).cast("string").alias("text"), F.col(common.quoted(lang)).cast("string").alias("lang"), F.xxhash64(F.col(common.quoted(id_col))).alias("draw")).where("lang is not null and text is not null")
+    sizes, seen = common.counted(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    if not seen.n:
         return None
+    each = max(1, min(per_language, sample_rows // seen.n))
     # about 1.5 times the bound by a threshold on the hash, then exactly the bound
-    share = F.create_map([F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 1.5 * per_language / n))])
-    drawn = rows.where(F.col("lang").isin(list(sizes)) & ((F.col("draw") / F.lit(2.0**64) + 0.5) < share[F.col("lang")]))
+    share = F.lit(1.5 * each) / F.col("n") + F.lit(64.0) / F.col("n")
+    drawn = rows.join(sizes, "lang").where(F.col("draw") / F.lit(2.0**64) + 0.5 < share).withColumn("tie", F.xxhash64("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "tie", "text"))
+    drawn = drawn.withColumn("nth", nth).where(F.col("nth") <= each).orderBy("draw", "lang", "tie", "nth").limit(sample_rows)
 
     def compact(batches):
         for b in batches:
             feats = [(at := np.flatnonzero(c), c[at]) for c, _ in counts_of(b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([a.astype(np.int32).tobytes() for a, _ in feats], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in feats], pa.binary())], ["lang", "draw", "at", "counts"])
-
-    got: dict[str, list] = {}
-    for r in sorted(drawn.select("text", "lang", "draw").mapInArrow(compact, "lang string, draw long, at binary, counts binary").collect(), key=lambda r: (r.draw, r.lang, bytes(r["at"]), bytes(r["counts"]))):
-        own = got.setdefault(r.lang, [])
-        if len(own) < per_language:
-            own.append((r.draw, r.lang, np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["counts"]), np.float32)))
-    sample = [x[1:] for x in sorted((x for own in got.values() for x in own), key=lambda x: (x[0], x[1]))]
-    if not sample:
-        return None
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([a.astype(np.uint16).tobytes() for a, _ in feats], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in feats], pa.binary())], ["lang", "draw", "tie", "nth", "at", "counts"])
+
+    found = common.materialise(drawn.select("text", "lang", "draw", "tie", "nth").mapInArrow(compact, "lang string, draw long, tie long, nth int, at binary, counts binary"), "sample")
+    sample = [(r.lang, np.frombuffer(r["at"], np.uint16), np.frombuffer(r.counts, np.float32)) for r in found.orderBy("draw", "lang", "tie", "nth").toLocalIterator()]
     df, n = document_frequencies(rows)
-    return fit(sorted(got), sample, np.log((1 + n) / (1 + df)) + 1)
+    return fit(sorted({x[0] for x in sample}), sample, np.log((1 + n) / (1 + df)) + 1)
 
 
 def held_out(id_col: str = "doc_id"):
     """Whether a row is kept from training: crc32 of its id leaves 1 by 3 (null: kept)."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(True))
+    return F.coalesce(F.crc32(F.col(common.quoted(id_col)).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with the columns lang_pred and score (same-named columns are replaced).
 
-    A null text, one without a letter, or a missing model give ``und`` and 0.0.
+    A null text, one without a letter, or a missing model give ``und`` and 0.0. Very
+    long texts are read whole; equal texts give equal results, languages of equal
+    scores the first in the alphabet. Other columns pass through, whatever their
+    names; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    source = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text).cast("string").alias("_winnower_text"))
-    schema = docs.select(*(F.col(f"`{c}`") for c in rest), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    source, back = common.plainly(docs, ("lang_pred", "score"), F.col(common.quoted(text)).cast("string"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         m = sent.value
@@ -288,7 +298,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     common.small_batches(docs.sparkSession)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*back, "lang_pred", "score")
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
