@@ -108,7 +108,9 @@ def fit(sample: np.ndarray, groups: np.ndarray, rows: int, n_groups: int, cosine
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    # by the largest component first, so that squares neither overflow nor vanish
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def _vectors(col) -> np.ndarray:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from winnower.llm import common
 
@@ -455,8 +456,8 @@ def payload_in(im: Image) -> bytes:
 def store_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, n_bytes, media): each whole text as an image; a null text is empty.
 
-    Every row gives a row, also repeated ones and those with a null id. Extra
-    columns are dropped.
+    Every row gives a row, also repeated ones and those with a null id; very long
+    texts are one image each, an empty table gives none. Extra columns are dropped.
     """
 
     def run(batches):
@@ -466,7 +467,7 @@ def store_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     common.small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(common.quoted(id_col)).cast("long").alias("doc_id"), F.col(common.quoted(text)).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 _FEATURES = "width int, height int, thumb_width int, thumb_height int, thumb_hash string, thumb_digest string, feature string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, error string"
@@ -476,12 +477,13 @@ def media_features(media: DataFrame, column: str = "media") -> DataFrame:
     """``media`` without its bytes, with dimensions, thumbnail hashes and digests.
 
     Null, empty or damaged images have an error and null features; images that
-    store no payload have null payload columns. Same-named columns are replaced.
+    store no payload have null payload columns. Equal images have equal features,
+    repeated rows come back each; an empty table gives an empty result. Same-named
+    columns are replaced, others pass through, whatever their names.
     """
     new = [f.split()[0] for f in _FEATURES.split(", ")]
-    rest = [c for c in media.columns if c != column and c not in new]
-    source = media.select(*(F.col(f"`{c}`") for c in rest), F.col(column))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source, back = common.plainly(media, [column, *new], F.col(common.quoted(column)))
+    schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string(_FEATURES).fields])
     types = [pa.int32()] * 4 + [pa.string()] * 3 + [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
@@ -496,10 +498,10 @@ def media_features(media: DataFrame, column: str = "media") -> DataFrame:
             decode([im for im in parsed if isinstance(im, Image)])
             rows = [_describe(d, im) for d, im in zip(data, parsed, strict=True)]
             cols = zip(*rows, strict=True) if rows else [[] for _ in new]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*rest, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*b.schema.names[:-1], *new])
 
     common.small_batches(media.sparkSession)
-    return source.mapInArrow(run, f"{head}, {_FEATURES}" if head else _FEATURES)
+    return source.mapInArrow(run, schema).select(*back, *new)
 
 
 def _describe(data: bytes | None, im: Image | str) -> tuple:
