@@ -9,9 +9,9 @@ What happens in a bucket is bounded. Documents with the same set of shingles are
 first folded into a class; of the classes in a bucket, each is joined to two
 centres only (a star around the smallest id and one around a hash-drawn member).
 All edges are confirmed on full sets. A bucket whose members are not one
-component after that is worked on again, only across components: a small one is
-finished at once, a large one gets a new centre, and what is then still open is
-finished by an exact filter on the differences of its members from its centre.
+component after that is worked on again, only across components: a small one by
+pairs at once, large ones by a star around the member closest to what most of them
+share, and then by an exact filter on their differences from that.
 """
 
 from __future__ import annotations
@@ -30,8 +30,12 @@ BANDS = BINS // ROWS
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Buckets of at most this many classes are finished at once, all classes of one
-#: component against those of the others; larger ones go on star by star.
+#: component against those of the others; larger ones by the exact filter.
 SMALL_BUCKET = 32
+#: A set with more edges than this is copied, so that so many of them meet one copy.
+HUB_EDGES = 256
+#: So many members, about, tell what a group has in common; the result does not depend on it.
+SAMPLED = 64
 #: Parts of the bands, worked on in turns.
 PARTS = 4
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -96,7 +100,7 @@ def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
 
     common.small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(common.quoted(id_col)).cast("long").alias("doc_id"), F.col(common.quoted(text)).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _set_column(n: int):
@@ -110,10 +114,21 @@ def _set_column(n: int):
 
 
 def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``edges(a, b)`` whose full sets reach the similarity."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = edges.join(a, "a").join(b, "b")
+    """Those of ``edges(a, b)``, a written table, whose full sets reach the similarity.
+
+    A set of very many edges is copied under several keys, among which its edges are
+    dealt out, so that they don't meet in one task.
+    """
+    ends = edges.select(F.col("a").alias("doc_id")).unionAll(edges.select("b"))
+    hubs = ends.groupBy("doc_id").agg(F.expr(f"cast(ceil(count(1) / {HUB_EDGES}) as int)").alias("copies")).where("copies > 1")
+    hubs = common.materialise(hubs, "hubs")
+    copied = sets.join(hubs, "doc_id", "left").select("doc_id", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), "shingles")
+    a = copied.select(F.col("doc_id").alias("a"), F.col("copy").alias("ca"), F.col("shingles").alias("sa"))
+    b = copied.select(F.col("doc_id").alias("b"), F.col("copy").alias("cb"), F.col("shingles").alias("sb"))
+    for end, other in ("ab", "ba"):
+        many = hubs.select(F.col("doc_id").alias(end), F.col("copies").alias(f"n{end}"))
+        edges = edges.join(many, end, "left").withColumn(f"c{end}", F.coalesce(F.pmod(F.xxhash64(other), f"n{end}"), F.lit(0)).cast("int"))
+    both = edges.join(a, ["a", "ca"]).join(b, ["b", "cb"])
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa").cast("long") + F.size("sb") - shared
     return both.where(shared * 100 >= union * percent).select("a", "b")
@@ -135,7 +150,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, text: str =
     Extra columns are ignored; an empty table gives an empty result.
     """
     percent = round(similarity * 100)
-    docs = _one_row_an_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    docs = _one_row_an_id(docs.select(F.col(common.quoted(id_col)).cast("long").alias("doc_id"), F.col(common.quoted(text)).cast("string").alias("text")))
     seen = common.materialise(sketches(docs, n=n), "sketches")
 
     classes = seen.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
@@ -179,99 +194,134 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
 def _complete(shared: DataFrame, component: DataFrame, tried: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components after the buckets that stars left in several components are worked on.
 
-    Only buckets of more than two members can hold links that no star has tried. A
-    turn takes a part of the bands, so that what one part links is known to the next.
-    What the turns leave open of the large buckets is finished at last.
+    Only buckets of more than two members can hold links that no star has tried.
+    Large buckets come first, by a star of their own; then small ones in turns, a part
+    of the bands each, so that what one part links is known to the next; then what is
+    still open of the large ones.
     """
-    large = []
-    for p in range(PARTS):
-        rows = shared.where(f"members > 2 and band % {PARTS} = {p}").select("bucket", "member", "size", "members", F.col("low.member").alias("centre"), F.col("member").alias("component"))
-        rows, left = common.counted(_still_open(rows, component), "open", F.count_if(F.col("members") > SMALL_BUCKET).alias("large"))
-        if left.large:
-            large.append(rows.where(F.col("members") > SMALL_BUCKET))
-        if not left.n:
-            continue
-        more, new = common.counted(_next_pairs(rows, tried, percent, p + 1), "edges")
+
+    def try_(pairs: DataFrame) -> None:
+        nonlocal tried, links, component
+        more, new = common.counted(pairs.join(tried, ["a", "b"], "left_anti"), "edges")
         if new.n:
             tried = tried.unionByName(more)
             found, got = common.counted(_confirm(more, sets, percent), "links")
             if got.n:
                 links = links.unionByName(found)
                 component = common.connected_components(links)
-    if not large:
-        return component
-    rest = large[0]
-    for rows in large[1:]:
-        rest = rest.unionByName(rows)
-    rest, left = common.counted(_still_open(rest, component), "open")
-    if left.n:
-        found, got = common.counted(_confirm(_close_pairs(rest, tried, sets, percent), sets, percent), "links")
-        if got.n:
-            component = common.connected_components(links.unionByName(found))
+
+    rows = shared.select("bucket", "band", "member", "size", "members", F.col("low.member").alias("centre"))
+    apart = None
+    large = _still_open(rows.where(F.col("members") > SMALL_BUCKET), component)
+    if large is not None:
+        # buckets that share a class are one group, so that no class is worked on twice
+        edges = large.select(F.col("member").alias("a"), F.col("centre").alias("b")).distinct()
+        group = common.connected_components(edges, "groups").select(F.col("id").alias("centre"), F.col("component").alias("group"))
+        large = common.materialise(large.join(group, "centre", "left").withColumn("centre", F.coalesce("group", "centre")).drop("group"), "large")
+        apart = _differences(large, sets)
+        try_(_star(apart, component, percent))
+    for p in range(PARTS):
+        few = _still_open(rows.where(f"members between 3 and {SMALL_BUCKET} and band % {PARTS} = {p}"), component)
+        if few is not None:
+            other = few.select("bucket", F.col("member").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
+            try_(_pairs(few.join(other, "bucket").where("member < other and component <> other_component"), percent))
+    if apart is not None:
+        left = _still_open(large.drop("component"), component)
+        if left is not None:
+            apart = apart.join(common.materialise(left.select("centre", "member").distinct(), "left"), ["centre", "member"], "left_semi")
+            try_(_close_pairs(_with_component(apart, component), percent))
     return component
 
 
-def _close_pairs(rows: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of open buckets, across components, that can reach the similarity; exact.
+def _differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (centre, member, size, delta): members of open large buckets and their differences.
 
-    Sets are replaced by their differences from the bucket's smallest class, which
-    has met all others: what a family has in common cancels out, and the symmetric
-    difference of two sets is that of their differences. Sets a and b are linked if
-    theirs has at most h = (a + b) (100 - percent) / (100 + percent) elements. By the
-    triangle inequality, two sets that are linked without both being linked to the
-    centre have differences x and y that share at least max(1, (x + y - h) / 2)
-    elements. With elements in order from the rarest, the first shared one is then
-    among the first (x - y + h) / 2 + 1 of x and (y - x + h) / 2 + 1 of y.
+    Buckets that share a class are one group, named by its smallest. A member's set is
+    replaced by its difference from a reference: what a family has in common cancels
+    out, and the symmetric difference of two sets is that of their differences. Any
+    reference gives the same result; taken is what more than half of some members
+    have, about SAMPLED of them drawn by a hash. The elements of a difference are in
+    one order for the whole group: those that a member has beyond the reference, from
+    the rarest, then those that it lacks. Elements of one member alone come with 1.
+    """
+    group = common.materialise(rows.groupBy("centre", "member").agg(F.first("size").alias("size")), "groups")
+    one = common.materialise(group.join(sets.select(F.col("doc_id").alias("member"), "shingles"), "member"), "members")
+    # tables of their own: where they are small, members need not be dealt out to meet them
+    sizes = common.materialise(group.groupBy("centre").agg(F.expr(f"cast(ceil(count(1) / {SAMPLED}) as int)").alias("step")), "sizes")
+    few = one.join(sizes, "centre").where(F.pmod(F.xxhash64("member"), "step") == 0).select("centre", "member", "shingles")
+    drawn = common.materialise(few.groupBy("centre").agg(F.count(F.lit(1)).alias("drawn")), "drawn")
+    counts = few.select("centre", F.explode("shingles").alias("token")).groupBy("centre", "token").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.join(drawn, "centre").where("2 * n > drawn").groupBy("centre").agg(F.collect_list("token").alias("most"))
+    both = one.join(common.materialise(most, "most"), "centre", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    parts = common.materialise(both.select("centre", "member", "size", F.array_except("shingles", "most").alias("more"), F.array_except("most", "shingles").alias("less")), "parts")
+
+    tokens = parts.select("centre", "member", F.explode("more").alias("token"))
+    shared = common.materialise(tokens.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    own = tokens.join(shared, ["centre", "token"], "left").groupBy("centre", "member").agg(F.collect_list(F.struct(F.coalesce("often", F.lit(1).cast("long")).alias("often"), "token")).alias("own"))
+    whole = parts.join(common.materialise(own, "own"), ["centre", "member"], "left")
+    last = F.transform("less", lambda t: F.struct(F.lit((1 << 63) - 1).alias("often"), t.alias("token")))
+    delta = F.sort_array(F.concat(F.coalesce("own", F.array().cast("array<struct<often:bigint,token:bigint>>")), last))
+    return common.materialise(whole.select("centre", "member", "size", delta.alias("delta")), "apart")
+
+
+def _with_component(rows: DataFrame, component: DataFrame) -> DataFrame:
+    now = component.select(F.col("id").alias("member"), "component")
+    return rows.join(now, "member", "left").withColumn("component", F.coalesce("component", "member"))
+
+
+def _star(apart: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members with the one of their group that is closest to what it shares.
+
+    Sets of a and b elements are linked if their symmetric difference is at most
+    h = (a + b) (100 - percent) / (100 + percent); it is at most the sum of their two
+    differences x and y. With a member's excess e = x - a (100 - percent) / (100 + percent),
+    two of them are linked for certain if their excesses add up to 0 or less, and then
+    both are linked to the member of the least excess. So this star leaves no such pair
+    apart.
     """
-    group = rows.where("member <> centre").groupBy("centre", "member").agg(F.first("size").alias("size"), F.first("component").alias("component"))
-    one = group.join(sets.select(F.col("doc_id").alias("member"), F.col("shingles").alias("sm")), "member")
-    both = one.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("sc")), "centre")
-    delta = F.concat(F.array_except("sm", "sc"), F.array_except("sc", "sm"))
-    apart = common.materialise(both.select("centre", "member", "size", "component", delta.alias("delta")), "apart")
-
-    tokens = apart.select("centre", "member", "component", F.explode("delta").alias("token"))
-    often = tokens.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    # elements of one component alone keep their places in the order, but pair nothing
-    often = common.materialise(often.select("centre", "token", "often", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
-    ranked = tokens.join(often, ["centre", "token"]).groupBy("centre", "member").agg(F.sort_array(F.collect_list(F.struct("often", "token", "mixed"))).alias("t"))
-    ranked = apart.select("centre", "member", "size", "component", F.size("delta").alias("d")).join(ranked, ["centre", "member"])
+    rows = _with_component(apart.select("centre", "member", "size", (F.size("delta") * (100 + percent) - F.col("size") * (100 - percent)).alias("excess")), component)
+    rows = common.materialise(rows, "excess")
+    least = common.materialise(rows.groupBy("centre").agg(F.min(F.struct("excess", "member", "size", "component")).alias("z")), "least")
+    near = rows.join(least, "centre").where("excess + z.excess <= 0 and component <> z.component")
+    return _pairs(near.select("member", "size", F.col("z.member").alias("other"), F.col("z.size").alias("other_size")), percent)
+
+
+def _close_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """All other pairs of open groups, across components, that can reach the similarity; exact.
+
+    Two sets whose excesses (see ``_star``) add up to more than 0 are only linked if
+    their differences x and y share at least max(1, (x + y - h) / 2) elements. With
+    elements in order from the rarest, the first shared one is then among the first
+    (x - y + h) / 2 + 1 of x and (y - x + h) / 2 + 1 of y. Members of a group's largest
+    component are only met by others, never among themselves.
+    """
+    apart = common.materialise(apart, "apart")
+    counts = apart.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("centre").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     # the largest h of a set, and so the longest start: that of the larger of two differences
     most = (F.col("size") * (100 - percent) / percent).cast("int") + 1
-    starts = ranked.select("centre", "member", "size", "component", "d", F.posexplode(F.slice("t", F.lit(1), most)).alias("at", "e"))
-    starts = starts.where("e.mixed").select("centre", F.col("e.token").alias("token"), "member", "size", "component", "d", "at")
-    # a table of its own, so that skewed partitions of the join can be split
+    starts = apart.select("centre", "member", "size", "component", F.size("delta").alias("d"), F.posexplode(F.slice("delta", F.lit(1), most)).alias("at", "e"))
+    # elements of one member alone keep their places in the order, but pair nothing
+    starts = starts.where("e.often > 1").select("centre", F.col("e.token").alias("token"), "member", "size", "component", "d", "at")
+    # tables of their own, so that skewed partitions of the join can be split
     starts = common.materialise(starts, "starts")
+    main = common.materialise(counts, "main")
+    rest = common.materialise(starts.join(main, "centre").where("component <> main").drop("main"), "rest")
 
-    x, y = starts.alias("x"), starts.alias("y")
+    x, y = rest.alias("x"), starts.alias("y")
     h = f"floor((x.size + y.size) * {100 - percent} / {100 + percent})"
-    meet = F.expr(
-        "x.centre = y.centre and x.token = y.token and x.component <> y.component and (x.d < y.d or x.d = y.d and x.member < y.member)"
-        f" and 2 * x.at <= x.d - y.d + {h} and 2 * y.at <= y.d - x.d + {h}"
-    )
-    pairs = x.join(y, meet).select(F.col("x.member").alias("member"), F.col("x.size").alias("size"), F.col("y.member").alias("other"), F.col("y.size").alias("other_size"))
-    return common.materialise(_pairs(pairs, percent).join(tried, ["a", "b"], "left_anti"), "edges")
-
+    meet = F.expr(f"x.centre = y.centre and x.token = y.token and x.component <> y.component and 2 * x.at <= x.d - y.d + {h} and 2 * y.at <= y.d - x.d + {h}")
+    return _pairs(x.join(y, meet).select(F.col("x.member").alias("member"), F.col("x.size").alias("size"), F.col("y.member").alias("other"), F.col("y.size").alias("other_size")), percent)
 
-def _still_open(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """The rows (bucket, member, size, members, centre, component) of buckets of several components.
 
-    A row's component so far is a member of the one that it belongs to now.
-    """
-    now = component.select(F.col("id").alias("component"), F.col("component").alias("now"))
-    rows = rows.join(now, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+def _still_open(rows: DataFrame, component: DataFrame) -> DataFrame | None:
+    """The rows of buckets of several components, with the component of each; None if there is none."""
+    rows, all_ = common.counted(_with_component(rows, component), "rows")
+    if not all_.n:
+        return None
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return rows.join(mixed, "bucket", "left_semi").select("bucket", "member", "size", "members", "centre", "component")
-
-
-def _next_pairs(rows: DataFrame, tried: DataFrame, percent: int, turn: int) -> DataFrame:
-    """New pairs across the components of open buckets."""
-    drawn = rows.where(F.col("members") > SMALL_BUCKET).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("member", "bucket", F.lit(turn)).alias("h"), "member", "size", "component")).alias("c"))
-    many = rows.join(drawn, "bucket").where(F.col("c.component") != F.col("component")).select("member", "size", F.col("c.member").alias("other"), F.col("c.size").alias("other_size"))
-    few = rows.where(F.col("members") <= SMALL_BUCKET).select("bucket", "member", "size", "component")
-    other = few.select("bucket", F.col("member").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
-    close = few.join(other, "bucket").where("member < other and component <> other_component")
-    pairs = _pairs(close.select("member", "size", "other", "other_size").unionByName(many), percent)
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    # a table of its own: the join is then one of plain scans, whose skewed partitions Spark splits
+    rows, left = common.counted(rows.join(common.materialise(mixed, "mixed"), "bucket", "left_semi"), "open")
+    return rows if left.n else None
 
 
 def _one_row_an_id(docs: DataFrame) -> DataFrame:
