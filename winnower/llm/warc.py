@@ -4,14 +4,19 @@ Archives are gzip files of one member for each record. They are kept as rows of
 bytes in a table (any store that Spark writes will do) or read as files.
 
 The reader checks every member (gzip's own checksum, the version line, header
-lines, the announced length). After a failed check it searches for the next place
+lines, the announced length) and the digests that a record states, in hexadecimal
+or base32: the block's, and the payload's, which in an HTTP response is what
+follows the HTTP header. After a failed check it searches for the next place
 where a member or, in a plain archive, a version line is valid, goes on from
 there, and logs the bytes between as a quarantined gap. No byte is lost silently:
-records and gaps together cover the archive.
+records and gaps together cover the archive. Members are inflated window by
+window, so that reading takes time in proportion to the archive.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import uuid
 import zlib
@@ -26,8 +31,12 @@ from winnower.llm import common
 
 #: An archive is closed when it has so many bytes, so that a reader's memory is bounded.
 ARCHIVE_BYTES = 4 << 20
-#: About so many of them are read by one task.
-ARCHIVES_A_TASK = 4
+#: Bytes of an archive that are inflated at a time; a record may inflate to so many.
+WINDOW, MAX_RECORD = 1 << 16, 1 << 30
+#: Header lines end within so many bytes.
+MAX_HEAD = 1 << 20
+#: Rows and bytes handed on at a time.
+OUT_ROWS, OUT_BYTES = 200, 8 << 20
 #: Payloads of at least so many bytes are written once.
 MIN_REVISIT = 1000
 LEVEL = 3
@@ -75,7 +84,7 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     """The plain record at ``at`` and the offset behind it."""
     if data[at : at + 5] != b"WARC/":
         raise Broken("no version line")
-    end = data.find(b"\r\n\r\n", at)
+    end = data.find(b"\r\n\r\n", at, at + MAX_HEAD)
     if end < 0:
         raise Broken("headers without end")
     version, *lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
@@ -97,44 +106,52 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return Record(at, stop + 4 - at, version, headers, data[start:stop]), stop + 4
 
 
+def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member at ``at`` and the offset behind the member."""
+    unpack, view = zlib.decompressobj(31), memoryview(data)
+    parts, size, here = [], 0, at
+    while not unpack.eof:
+        if here >= len(data):
+            raise Broken("gzip member without end")
+        window = view[here : here + WINDOW]
+        here += len(window)
+        try:
+            part = unpack.decompress(window, MAX_RECORD - size + 1)
+        except zlib.error as e:
+            raise Broken("damaged gzip member") from e
+        parts.append(part)
+        size += len(part)
+        if size > MAX_RECORD:
+            raise Broken("record too large")
+    return b"".join(parts), here - len(unpack.unused_data)
+
+
 def _member(data: bytes, at: int) -> tuple[Record, int]:
     """The record of the gzip member at ``at`` and the offset behind the member."""
-    if data[at : at + 3] != _MAGIC:
-        raise Broken("no gzip member")
-    unpack = zlib.decompressobj(31)
-    try:
-        plain = unpack.decompress(data[at:])
-    except zlib.error as e:
-        raise Broken("damaged gzip member") from e
-    if not unpack.eof:
-        raise Broken("gzip member without end")
-    try:
-        record, end = _parse(plain, 0)
-    except UnicodeDecodeError as e:
-        raise Broken("headers are not UTF-8") from e
+    plain, stop = _inflate(data, at)
+    record, end = _parse(plain, 0)
     if end != len(plain):
         raise Broken("bytes behind the record")
-    stop = len(data) - len(unpack.unused_data)
     record.offset, record.length = at, stop - at
     return record, stop
 
 
-def _next(data: bytes, at: int) -> int:
-    """The next place after ``at`` where a member or a version line may begin."""
-    found = [x for x in (data.find(_MAGIC, at + 1), data.find(b"WARC/", at + 1)) if x >= 0]
-    return min(found, default=len(data))
-
-
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All records that can be read, and the gaps between them, in order."""
     at = lost = 0
     reason = ""
+    # where the next member and the next version line may begin; each byte is searched once for either
+    ahead = {_MAGIC: -1, b"WARC/": -1}
     while at < len(data):
         try:
             record, end = _member(data, at) if data[at : at + 3] == _MAGIC else _parse(data, at)
         except (Broken, UnicodeDecodeError) as e:
             reason = reason or (str(e) if isinstance(e, Broken) else "headers are not UTF-8")
-            at = _next(data, at)
+            for mark, place in ahead.items():
+                if place <= at:
+                    found = data.find(mark, at + 1)
+                    ahead[mark] = found if found >= 0 else len(data)
+            at = min(ahead.values())
             continue
         if at > lost:
             yield Gap(lost, at - lost, reason)
@@ -145,6 +162,58 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(lost, len(data) - lost, reason)
 
 
+def payload_of(record: Record) -> tuple[bytes | None, bytes]:
+    """(HTTP header or None, payload): an HTTP message's payload follows its header."""
+    if not record.headers.get("content-type", "").lower().startswith("application/http"):
+        return None, record.block
+    head, _, body = record.block.partition(b"\r\n\r\n")
+    return head, body
+
+
+def _dechunked(head: bytes, body: bytes) -> bytes | None:
+    """The body without the framing of ``Transfer-Encoding: chunked``; None if it has none."""
+    if b"chunked" not in head.lower():
+        return None
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at, at + 64)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(body):
+            return None
+        if size == 0:
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def stated_digest(value: str | None) -> tuple[str, str] | None:
+    """(algorithm, lower-case hex) of ``algorithm:hex`` or ``algorithm:base32``; None if nothing is stated.
+
+    A value that is neither comes back as it is, and equals no digest.
+    """
+    name, sep, said = (value or "").strip().partition(":")
+    name = name.lower().replace("-", "")
+    if not sep:
+        return None
+    size = hashlib.new(name).digest_size if name in ("md5", "sha1", "sha256", "sha512") else 0
+    if size and len(said) != 2 * size:
+        try:
+            said = base64.b32decode(said.upper() + "=" * (-len(said) % 8)).hex()
+        except (binascii.Error, ValueError):
+            pass
+    return name, said.lower()
+
+
+def _agrees(stated: tuple[str, str] | None, *contents: bytes | None) -> bool:
+    """Whether one of the contents has the stated digest; an unknown algorithm can't be checked."""
+    if stated is None or stated[0] not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    return any(hashlib.new(stated[0], c).hexdigest() == stated[1] for c in contents if c is not None)
+
+
 def roles(pages: DataFrame) -> DataFrame:
     """``page_id, payload`` with digest, payload_bytes and refers_to.
 
@@ -166,11 +235,12 @@ def write_archives(pages: DataFrame, path: str, url: str = "url", html: str = "h
 
     A null html is an empty payload. A null id is archived as a response without an
     id. Repeated rows are all archived; equal payloads under one id are all responses.
-    Extra columns are ignored.
+    A very long html is one record. An empty table writes no archive. Extra columns
+    are ignored.
     """
     common.small_batches(pages.sparkSession)
-    payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    rows = roles(pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("payload")))
+    payload = F.coalesce(F.col(common.quoted(html)).cast("string"), F.lit("")).cast("binary")
+    rows = roles(pages.select(F.col(common.quoted(id_col)).cast("long").alias("page_id"), F.coalesce(F.col(common.quoted(url)).cast("string"), F.lit("")).alias("url"), payload.alias("payload")))
     # a revisit carries no payload
     rows = rows.select("page_id", "url", "digest", "payload_bytes", "refers_to", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"))
 
@@ -205,31 +275,39 @@ def write_archives(pages: DataFrame, path: str, url: str = "url", html: str = "h
     rows.mapInArrow(pack, "archive_id string, content binary").write.option("compression", "uncompressed").parquet(path)
 
 
-_READ = "archive_id string, offset long, length long, gap string, record_type string, uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
+_READ = "archive_id string, offset long, length long, gap string, record_type string, uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, http_head string, payload binary"
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """One row for each record and each gap of ``archives(archive_id, content)``.
 
-    ``gap`` is null for a record, else the check that failed. A response's length
-    and digest are those of the block that was read; a block that doesn't match
-    its digest is a gap ("payload digest"). A null or empty archive has no rows.
+    ``gap`` is null for a record, else the check that failed. A response's length and
+    SHA-1 are those of the payload that was read, without the HTTP header, which comes
+    apart; a record that doesn't match a digest that it states is a gap ("block
+    digest", "payload digest"). A null or empty archive has no rows, repeated
+    archives are each read. A worker holds one archive and one record at a time, so
+    archives have to fit in a worker's memory.
     """
 
     def run(batches):
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [_row(name, x) for x in salvage(content or b"")]
-                for k in range(0, len(rows), 200):
-                    cols = zip(*rows[k : k + 200], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], [f.split()[0] for f in _READ.split(", ")])
-
-    # a batch may be as large as a task's share: some archives for each task
-    parts = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), archives.count() // ARCHIVES_A_TASK + 1)
-    return archives.select("archive_id", "content").repartition(parts, "archive_id").mapInArrow(run, _READ)
+            for name, content in zip(*b.columns, strict=True):
+                rows, size = [], 0
+                for x in salvage(content.as_py() or b""):
+                    rows.append(_row(name.as_py(), x))
+                    size += len(rows[-1][-1] or b"")
+                    if len(rows) >= OUT_ROWS or size >= OUT_BYTES:
+                        yield told(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield told(rows)
 
+    def told(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], [f.split()[0] for f in _READ.split(", ")])
 
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    common.small_batches(archives.sparkSession)
+    return archives.select("archive_id", "content").mapInArrow(run, _READ)
 
 
 def _number(value: str | None) -> int | None:
@@ -240,20 +318,30 @@ def _number(value: str | None) -> int | None:
 
 
 def _row(name: str, x: Record | Gap) -> tuple:
+    def gap(reason):
+        return name, x.offset, x.length, reason, None, None, None, None, None, None, None, None
+
     if isinstance(x, Gap):
-        return name, x.offset, x.length, x.reason, None, None, None, None, None, None, None
+        return gap(x.reason)
     h = x.headers
-    kind, said = h.get("warc-type"), (h.get("warc-payload-digest") or "").partition(":")[2]
-    digest, size = said, _number(h.get("x-payload-length"))
+    kind, said = h.get("warc-type"), stated_digest(h.get("warc-payload-digest"))
+    if not _agrees(stated_digest(h.get("warc-block-digest")), x.block):
+        return gap("block digest")
+    head, payload = payload_of(x)
+    digest, size = said[1] if said else "", _number(h.get("x-payload-length"))
     if kind == "response":
-        digest, size = hashlib.sha1(x.block).hexdigest(), len(x.block)
-        if said and said != digest:
-            return name, x.offset, x.length, "payload digest", None, None, None, None, None, None, None
-    return name, x.offset, x.length, None, kind, h.get("warc-target-uri"), _number(h.get("x-page-id")), size, digest, _number(h.get("x-refers-to-page")), x.block
+        if not _agrees(said, payload, _dechunked(head, payload) if head else None):
+            return gap("payload digest")
+        digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
+    return name, x.offset, x.length, None, kind, h.get("warc-target-uri"), _number(h.get("x-page-id")), size, digest, _number(h.get("x-refers-to-page")), None if head is None else head.decode("latin-1"), payload
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records and gaps of the ``.warc`` and ``.warc.gz`` files under a path."""
+    """Records and gaps of the ``.warc`` and ``.warc.gz`` files under a path.
+
+    A file is read whole by one task, as gzip can't be entered in the middle: files
+    have to fit in a worker's memory and stay under Spark's limit of 2 GiB a value.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return read_archives(files.select(F.col("path").alias("archive_id"), "content"))
 
