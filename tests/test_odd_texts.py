@@ -1,10 +1,12 @@
 """Queries over documents that are empty, blank, or without a letter, against their SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 from conftest import same
 
 from winnower import registry
+from winnower.operators.summarize import segments
 
 ROWS = [(1, "", "en"), (2, " \n\n ", "en"), (3, "123 456", "de"), (4, None, "en"), (5, "The cat and the dog.\n\nThe dog ran.", "en"), (6, "...", "it")]
 
@@ -21,3 +23,14 @@ def test_texts_without_words(name, spark, odd):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
     same(registry.QUERIES[name](spark, odd).toPandas(), con.execute(registry.ORACLES[name]).df())
+
+
+def test_topics_of_equal_depth():
+    """Depths that are equal are no more than their mean less half of no deviation, whatever a rounded sum says."""
+    sizes = [("alpha alpha alpha. beta. alpha. " * 9).split(". ")[:n] for n in range(7, 27)] + [("alpha omega alpha. delta. alpha gamma. beta. delta. delta omega. " * 5).split(". ")[:n] for n in range(7, 29)]
+    frame = pd.DataFrame([(i, ". ".join(s) + ".", "en") for i, s in enumerate(sizes)], columns=["doc_id", "text", "lang"])
+    con = duckdb.connect()
+    con.register("documents", frame)
+    want = con.execute(registry.ORACLES["topic_segments"]).df()
+    got = {(i, a, b, t) for i, text in zip(frame["doc_id"], frame["text"], strict=True) for a, b, t in segments(text)}
+    assert got == set(zip(want["doc_id"], want["start"], want["end"], want["text"], strict=True))
