@@ -6,6 +6,7 @@ import pytest
 from conftest import same
 
 from winnower import registry
+from winnower.operators.compress import compress, rated
 from winnower.operators.summarize import segments
 
 ROWS = [(1, "", "en"), (2, " \n\n ", "en"), (3, "123 456", "de"), (4, None, "en"), (5, "The cat and the dog.\n\nThe dog ran.", "en"), (6, "...", "it")]
@@ -18,7 +19,7 @@ def odd(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["lang_scores", "relevance_rank", "relevance_focus"])
+@pytest.mark.parametrize("name", ["lang_scores", "relevance_rank", "relevance_focus", "compress_statistical", "compress_semantic", "compress_syntactic"])
 def test_texts_without_words(name, spark, odd):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
@@ -34,3 +35,16 @@ def test_topics_of_equal_depth():
     want = con.execute(registry.ORACLES["topic_segments"]).df()
     got = {(i, a, b, t) for i, text in zip(frame["doc_id"], frame["text"], strict=True) for a, b, t in segments(text)}
     assert got == set(zip(want["doc_id"], want["start"], want["end"], want["text"], strict=True))
+
+
+def test_statistical_compression_shuffles_nothing(spark):
+    texts = spark.createDataFrame([(1, "The cat saw Rome. It ran.", "eng")], "id long, text string, iso3 string")
+    out = compress(texts, "statistical", lang="iso3")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_of_rated_words():
+    # the best word of a sentence below the threshold stays; a text without scored words keeps its words
+    # (scores by hand: 4 sentences, each word in one; a and d 2 (ln 2 + 1), b half of that: the median is theirs)
+    assert rated("SSSESSEZE", ["a", "a", "b", ".", "d", "d", ".", "the", "."]) == "ll..ll.l."
+    assert rated("KDPU", ["x", "1", ",", "y"]) == "W..W"

@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows and bytes in one Arrow batch sent to a Python worker: whichever ends first, so
-#: that a worker holds this much or one longer text.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+from winnower.sources.scratch import BATCH_BYTES, BATCH_ROWS, small_batches  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,20 +64,6 @@ def content_hash(df: DataFrame) -> Column:
     return F.xxhash64(F.lit(0), *(F.col(quoted(f.name)) for f in df.schema.fields if plain(f.dataType)))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for tables of long texts.
-
-    The session's limits are lowered, never raised; Spark reads them when a plan
-    runs, so they stay lowered.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share.
 
