@@ -48,3 +48,15 @@ def test_marks_of_rated_words():
     # (scores by hand: 4 sentences, each word in one; a and d 2 (ln 2 + 1), b half of that: the median is theirs)
     assert rated("SSSESSEZE", ["a", "a", "b", ".", "d", "d", ".", "the", "."]) == "ll..ll.l."
     assert rated("KDPU", ["x", "1", ",", "y"]) == "W..W"
+
+
+@pytest.mark.parametrize("name", ["summary_chat", "summary_tfidf", "summary_topic"])
+def test_summaries_get_small_batches(name, spark, odd):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        registry.QUERIES[name](spark, odd)
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, old)
