@@ -79,6 +79,33 @@ RULES: list[Rule] = [
 ]
 
 
+# What a text must hold for a bundled rule to match at all: so many digits in a row, and one of some words (lower-cased).
+_RUN = {
+    "Phone E.164": 7, "IBAN": 2, "Credit Card": 13, "GPS Coordinates": 1, "Minor Data (<16)": 1, "Legal Case / File Number": 3, "Italian VAT Number": 11, "German Tax ID (Steuer-Id)": 11, "German ID Card": 8,
+    "French Social Security (NIR)": 3, "French Business ID (SIREN/SIRET)": 3, "Spanish Tax/ID Number (NIF/NIE)": 7, "Polish PESEL": 11, "Polish VAT (NIP)": 3, "Dutch BSN": 9, "Swedish Personal ID": 8,
+    "Finnish Personal ID (Hetu)": 6, "Danish CPR Number": 6, "Austrian Social Insurance": 5, "Austrian VAT (UID)": 8, "Belgian National Registry": 11, "Portuguese Tax Number (NIF)": 9, "Irish PPSN": 7,
+    "Greek Tax Number (AFM)": 9, "Greek Social Security (AMKA)": 11, "Czech Birth Number": 6, "Romanian Personal Code (CNP)": 13, "Hungarian Tax ID": 10, "Bulgarian EGN": 10, "Croatian OIB": 11,
+    "Slovak Birth Number": 6, "Slovenian EMSO": 13, "Lithuanian Personal Code": 11, "Latvian Personal Code": 6, "Estonian Personal ID": 11, "Cypriot ID Number": 6, "Maltese ID Number": 7,
+    "Luxembourg National ID": 13, "UK National Insurance Number (NINO)": 6, "Swiss AHV/AVS Number": 4, "Chinese Resident ID Number": 17, "Russian Taxpayer ID (INN)": 12, "Ukrainian Taxpayer Number (RNOKPP)": 10,
+}
+_WORDS = {
+    "Email": ["@"], "JWT/Token": ["eyj"], "GPS Coordinates": [","], "Password/Secret": ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "bearer"],
+    "EU Vehicle License Plate": ["targa", "kennzeichen", "license plate", "placa", "rejestracja", "kenteken", "immatriculation"],
+    "PNR / Booking Code": ["pnr", "booking code", "prenotazione", "reservation code", "codice viaggio", "buchungscode", "code de réservation", "código de reserva", "nr rezerwacji", "boekingscode"],
+    "Social / Messenger Handle": ["@", "t.me/", "instagram.com/", "x.com/", "tiktok.com/", "discord.gg/", "telegram.me/", "linkedin.com/in/"],
+    "Minor Data (<16)": ["minore di", "bambino di", "ragazzo di", "under", "minderj", "mineur de", "menor de", "małoletni poniżej"],
+    "Employee / Badge ID": ["matricola", "badge", "dipendente", "studente", "employee id", "personalnummer", "numéro d'employé", "número de empleado", "nr pracownika", "werknemersnummer", "código de funcionário", "kennung", "identyfikator"],
+}
+_BUNDLED = {r.pattern: (_RUN.get(r.category, 0), tuple(_WORDS.get(r.category, ()))) for r in RULES}
+#: Letters that match s and i where case is ignored, but are not lower-cased to them.
+FOLDED = {"ſ": "s", "ı": "i", "İ": "i"}
+
+
+def needs(rule: Rule) -> tuple[int, tuple[str, ...]]:
+    """(digits in a row, words) without which a text has no match of the rule; (0, ()) for one that isn't bundled."""
+    return _BUNDLED.get(rule.pattern, (0, ()))
+
+
 def from_table(table: DataFrame) -> list[Rule]:
     """Rules of a table (group, category, pattern, weight, validator, high, keywords, tags); bounded, so the driver holds them."""
     return [Rule(r.group, r.category, r.pattern, int(r.weight), r.validator or "", bool(r.high), tuple(k.lower() for k in r.keywords or ()), tuple(r.tags or ())) for r in table.toLocalIterator()]
