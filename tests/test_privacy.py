@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from winnower.functions.checksums import VALIDATORS
 from winnower.functions.pii_rules import RULES
@@ -102,6 +103,44 @@ def test_luhn_without_python_agrees(spark):
         assert bool(r.a) == bool(r.b), r.v
 
 
+def test_no_rule_is_lost_by_what_it_needs(spark, monkeypatch):
+    """Each rule over texts that it matches, with what it needs and without looking at that; letters that fold to s and i too."""
+    texts = [
+        "MAIL A@B.ORG", "+49301234567", "iban DE89370400440532013000", "378282246310005", "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12, "PASSWORD x", "password: abcdefghij", "45.5, 9.2", "TARGA AB123CD", "ſtudente 12345", "plate 1 LICENSE PLATE: AB 12",
+        "Código de Reserva: AB12CD", "T.ME/someone", "minorenne minore di 14 anni", "UNDER 12 years", "proc. n. 1234/21", "bılling IDENTYFIKATOR 12345", "RSSMRA85T10A562S", "IT12345678907", "12345678901", "C12345678", "2 55 08 14 168 025 38", "123 456 789",
+        "12345678Z", "12-345-67-89-0", "111222333", "850101-1234 19850101-1234", "131052-308T 131052A308T", "1234 56789", "ATU12345678", "1234567WA", "850101/1234", "1800101221144", "010190-12345", "A123456B", "1234567M", "AB123456C", "756.9217.0769.85", "11010519491231002X", "500100732259",
+    ]
+    rows = spark.createDataFrame([(k, t + " @") for k, t in enumerate(texts)], "id long, text string").localCheckpoint()
+    got = rows.select("id", privacy.counts().alias("j"), privacy.analysis()["matches"].alias("p")).collect()
+    own = {k: privacy.analyse(t + " @") for k, t in enumerate(texts)}
+    monkeypatch.setattr(privacy, "needs", lambda rule: (0, ()))
+    whole = {k: privacy.analyse(t + " @") for k, t in enumerate(texts)}
+    assert own == whole and len({c for x in whole.values() for c in x[1]}) >= 45
+    all_java = {r.id: r.j for r in rows.select("id", privacy.counts().alias("j")).collect()}
+    assert {r.id: r.j for r in got} == all_java
+    assert {r.id: r.p for r in got} == {k: x[1] for k, x in whole.items()}
+
+
+def test_rules_are_not_tried_in_vain(monkeypatch):
+    """Of a long text with one short number, hardly a rule reads more than that."""
+    tried = []
+
+    class Seen:
+        def finditer(self, text):
+            tried.append(text)
+            return iter(())
+
+    monkeypatch.setattr(privacy, "_compiled", lambda rules: [(r, Seen()) for r in rules])
+    privacy.analyse("word 12 " * 100)
+    assert len(tried) < 6
+
+
+def test_injection_lower_cases_a_text_once(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("text")).select(guards.injection().alias("r"))
+    spark.conf.set("spark.sql.maxToStringFields", "1000")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
 def test_column_rules_and_python_rules_agree(spark, data):
     """Counts by Java's regular expressions and by Python's, over the same texts."""
     from winnower.operators import privacy

@@ -113,18 +113,28 @@ def injection(text: str = "text", patterns: list[tuple[str, str, int]] | None =
     """A struct (score, risk, categories) of a text, in one pass over it."""
     hints = HINTS if patterns is None else {}
     patterns = INJECTION if patterns is None else patterns
-    low = F.lower(F.col(text))
 
-    def fires(k: int, p: str) -> Column:
+    def fires(k: int, p: str, x: Column) -> Column:
         there = F.lit(k not in hints)
         for word in hints.get(k, []):
-            there = there | F.contains(low, F.lit(word))
-        return there & F.col(text).rlike("(?i)" + p)
+            there = there | F.contains(x["low"], F.lit(word))
+        return there & x["text"].rlike("(?i)" + p)
 
-    fired = F.filter(F.array(*(F.when(fires(k, p), F.struct(F.lit(c).alias("c"), F.lit(w).alias("w"))) for k, (c, p, w) in enumerate(patterns))), lambda x: x.isNotNull())
-    score = F.least(F.lit(100), F.aggregate(fired, F.lit(0), lambda a, x: a + x["w"]))
-    risk = F.when(score == 0, "Safe").when(score <= 20, "Low").when(score <= 45, "Medium").when(score <= 70, "High").otherwise("Critical")
-    return F.struct(score.alias("score"), risk.alias("risk"), F.array_sort(F.array_distinct(F.transform(fired, lambda x: x["c"]))).alias("categories"))
+    def some(x: Column) -> Column:
+        return F.filter(F.array(*(F.when(fires(k, p, x), F.struct(F.lit(c).alias("c"), F.lit(w).alias("w"))) for k, (c, p, w) in enumerate(patterns))), lambda y: y.isNotNull())
+
+    def once(value: Column, f) -> Column:
+        """``f`` of a value that is made once a text, as the variable of a function."""
+        return F.transform(F.array(value), f)[0]
+
+    def told(fired: Column, score: Column) -> Column:
+        risk = F.when(score == 0, "Safe").when(score <= 20, "Low").when(score <= 45, "Medium").when(score <= 70, "High").otherwise("Critical")
+        return F.struct(score.alias("score"), risk.alias("risk"), F.array_sort(F.array_distinct(F.transform(fired, lambda x: x["c"]))).alias("categories"))
+
+    def scored(fired: Column) -> Column:
+        return once(F.least(F.lit(100), F.aggregate(fired, F.lit(0), lambda a, x: a + x["w"])), lambda score: told(fired, score))
+
+    return once(F.struct(F.col(text).alias("text"), F.lower(F.col(text)).alias("low")), lambda x: once(some(x), scored))
 
 
 def _bounded(phrase: str, java: bool = True) -> str:
