@@ -79,3 +79,27 @@ def test_long_texts_are_routed_harder(spark):
     assert got["short"].type == got["long"].type == "PlainText"
     per = {k: len(got[k].routed.split()) / len(t.split()) for k, t in texts}
     assert per["long"] < per["short"]
+
+
+def test_a_key_of_many_rows_is_held_as_numbers():
+    """300,000 rows of one key in frames of 10,000: what is held grows by less than 100 bytes a row, and rows come in order."""
+    import tracemalloc
+
+    class State:
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return 0
+
+    base, n = pd.Timestamp("2024-01-01"), 300_000
+
+    def frames():
+        for i in range(0, n, 10_000):
+            k = pd.Series(range(i, i + 10_000))
+            yield pd.DataFrame({"event_id": k, "ts": base + pd.to_timedelta(n - k, unit="s"), "fp": (k % 5).map(lambda x: f"{x:064d}")})
+
+    tracemalloc.start()
+    rows, names = twins._in_time(frames(), State(), "fp")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * n and len(names) == 5
+    got = list(rows)
+    assert [r[0] for r in got] == list(range(n - 1, -1, -1)) and all(names[r[2]] == f"{r[0] % 5:064d}" for r in got[:50])

@@ -8,14 +8,16 @@ given up when the watermark has passed the time from which they count no more.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from winnower.operators.sessions import LOOP_WINDOW, MAX_REPEATS, RATE_LIMIT, RATE_SECONDS, TTL
-from winnower.sources.scratch import scratch
+from winnower.sources.scratch import BATCH_ROWS, scratch
 
 LATE = "1 hour"
 FAILURES, FAILURE_SECONDS, OPEN_SECONDS = 3, 60, 30
@@ -56,15 +58,41 @@ def once(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys)
 
 
-def _micros(ts: pd.Series) -> list[int]:
-    return [int(x.value // 1000) for x in pd.to_datetime(ts)]
+def _micros(ts: pd.Series) -> np.ndarray:
+    return pd.to_datetime(ts).dt.as_unit("us").astype("int64").to_numpy()
 
 
-def _in_time(frames: Iterator[pd.DataFrame], state: GroupState) -> pd.DataFrame:
-    """The rows of a batch in order, without those behind the watermark (Spark's own filter lags it by a batch)."""
-    rows = pd.concat(list(frames))
+def _in_time(frames: Iterator[pd.DataFrame], state: GroupState, column: str | None = None) -> tuple[Iterator[tuple[int, int, int]] | None, list]:
+    """The rows (event_id, time, code) of a batch in order (None: there are none), without those behind the watermark (Spark's own filter lags it by a batch), and what the codes of ``column`` mean.
+
+    A key's rows of a batch are held as numbers, a few dozen bytes each.
+    """
     late = state.getCurrentWatermarkMs() * 1000
-    return rows[[t >= late for t in _micros(rows["ts"])]].sort_values(["ts", "event_id"])
+    codes: dict[object, int] = {}
+    parts = []
+    for f in frames:
+        t = _micros(f["ts"])
+        f, t = f[t >= late], t[t >= late]
+        own = np.zeros(len(f), dtype=np.int32)
+        if column and len(f):
+            at, names = pd.factorize(f[column], use_na_sentinel=False)
+            own = np.array([codes.setdefault(None if x != x else x, len(codes)) for x in names.tolist()], dtype=np.int32)[at]
+        parts.append((f["event_id"].to_numpy(dtype=np.int64), t, own))
+    events, times, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    order = np.lexsort((events, times))
+
+    def rows() -> Iterator[tuple[int, int, int]]:
+        for i in range(0, len(order), BATCH_ROWS):
+            o = order[i : i + BATCH_ROWS]
+            yield from zip(events[o].tolist(), times[o].tolist(), own[o].tolist(), strict=True)
+
+    return rows() if len(order) else None, list(codes)
+
+
+def _in_parts(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, BATCH_ROWS)):
+        yield pd.DataFrame(part, columns=columns)
 
 
 def _until(state: GroupState, micros: int) -> None:
@@ -80,21 +108,24 @@ def loop_streaks(stream: DataFrame, session: str, fp: str, limit: int = MAX_REPE
             state.remove()
             return
         past = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = _in_time(frames, state)
-        if not len(rows) and not state.exists:
+        rows, names = _in_time(frames, state, "fp")
+        if rows is None and not state.exists:
             return
-        out = []
-        for event, print_, t in zip(rows["event_id"], rows["fp"], _micros(rows["ts"]), strict=True):
-            streak = 0
-            for p, at in reversed(past):
-                if p != print_ or t - at > ttl * 1_000_000:
-                    break
-                streak += 1
-            out.append((event, streak + 1, "Block" if streak >= limit else "Allow"))
-            past = [*past, (print_, t)][-window:]
+
+        def told() -> Iterator[tuple]:
+            nonlocal past
+            for event, t, code in rows or ():
+                print_, streak = names[code], 0
+                for p, at in reversed(past):
+                    if p != print_ or t - at > ttl * 1_000_000:
+                        break
+                    streak += 1
+                past = [*past, (print_, t)][-window:]
+                yield event, streak + 1, "Block" if streak >= limit else "Allow"
+
+        yield from _in_parts(told(), ["event_id", "repeat_count", "verdict"])
         state.update(([p for p, _ in past], [t for _, t in past]))
         _until(state, past[-1][1] + ttl * 1_000_000)
-        yield pd.DataFrame(out, columns=["event_id", "repeat_count", "verdict"])
 
     rows = stream.withWatermark("ts", LATE).select(F.col(session).cast("string").alias("session"), F.col(fp).alias("fp"), "ts", "event_id")
     return rows.groupBy("session").applyInPandasWithState(fold, "event_id long, repeat_count long, verdict string", "fps array<string>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
@@ -108,16 +139,19 @@ def rate_hits(stream: DataFrame, client: str, limit: int = RATE_LIMIT, seconds:
             state.remove()
             return
         past = list(state.get[0]) if state.exists else []
-        rows = _in_time(frames, state)
-        if not len(rows) and not state.exists:
+        rows, _ = _in_time(frames, state)
+        if rows is None and not state.exists:
             return
-        out = []
-        for event, t in zip(rows["event_id"], _micros(rows["ts"]), strict=True):
-            past = [x for x in past if x >= t - seconds * 1_000_000] + [t]
-            out.append((event, len(past), len(past) > limit))
+
+        def told() -> Iterator[tuple]:
+            nonlocal past
+            for event, t, _ in rows or ():
+                past = [x for x in past if x >= t - seconds * 1_000_000] + [t]
+                yield event, len(past), len(past) > limit
+
+        yield from _in_parts(told(), ["event_id", "in_window", "limited"])
         state.update((past,))
         _until(state, past[-1] + seconds * 1_000_000)
-        yield pd.DataFrame(out, columns=["event_id", "in_window", "limited"])
 
     rows = stream.withWatermark("ts", LATE).select(F.col(client).cast("string").alias("client"), "ts", "event_id")
     return rows.groupBy("client").applyInPandasWithState(fold, "event_id long, in_window long, limited boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
@@ -150,13 +184,12 @@ def breakers(stream: DataFrame, upstream: str, failed: str) -> DataFrame:
             state.remove()
             return
         b = Breaker(list(state.get[0]), state.get[1]) if state.exists else Breaker()
-        rows = _in_time(frames, state)
-        if not len(rows) and not state.exists:
+        rows, names = _in_time(frames, state, "failed")
+        if rows is None and not state.exists:
             return
-        out = [(e, b.see(t, bool(f))) for e, t, f in zip(rows["event_id"], _micros(rows["ts"]), rows["failed"], strict=True)]
+        yield from _in_parts(((e, b.see(t, bool(names[code]))) for e, t, code in rows or ()), ["event_id", "state"])
         state.update((b.failures, b.open_until))
         _until(state, max([b.open_until, *(t + FAILURE_SECONDS * 1_000_000 for t in b.failures)]))
-        yield pd.DataFrame(out, columns=["event_id", "state"])
 
     rows = stream.withWatermark("ts", LATE).select(F.col(upstream).cast("string").alias("upstream"), F.col(failed).alias("failed"), "ts", "event_id")
     return rows.groupBy("upstream").applyInPandasWithState(fold, "event_id long, state string", "failures array<long>, open_until long", "append", GroupStateTimeout.EventTimeTimeout)
